@@ -50,6 +50,19 @@ def discard(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Bytes of an Arrow batch to a Python worker, where the session does not say otherwise. Texts are long, and JVM and
+#: worker both hold batches.
+BATCH_BYTES = "4m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session's Arrow batches are small, unless the session has its own setting."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession._jsparkSession.conf()
+    if not conf.contains(key):
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+    return df
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as decimal text, the base of every held-out fold."""
     return F.crc32(doc_id.cast("string").cast("binary"))
