@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import small_batches, texts
+from skein.llm.common import for_python, texts
 
 #: Entries of a task's dictionary of cuts, and bytes of a cut that may enter it.
 CACHE, CACHED_BYTES = 400_000, 64
@@ -144,7 +144,7 @@ def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 ids = own.encode([x or "" for x in t.rows.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([t.rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, vocabulary: str) -> DataFrame:
@@ -158,7 +158,7 @@ def decoded(rows: DataFrame, vocabulary: str) -> DataFrame:
                 out = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return small_batches(rows).select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return for_python(rows).select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -180,4 +180,4 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

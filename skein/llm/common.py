@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -55,11 +58,22 @@ def discard(*frames: DataFrame) -> None:
 BATCH_BYTES = "4m"
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session's Arrow batches are small, unless the session has its own setting."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession._jsparkSession.conf()
-    if not conf.contains(key):
-        df.sparkSession.conf.set(key, BATCH_BYTES)
+def for_python(df: DataFrame) -> DataFrame:
+    """df, for a step in Python: this package goes to the workers, and Arrow batches are small from now on, unless the
+    session has its own setting."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.conf().contains(key):
+        spark.conf.set(key, BATCH_BYTES)
+    sc = spark.sparkContext
+    if not getattr(sc, "_skein_sent", False):
+        top = Path(__file__).resolve().parent.parent
+        at = Path(tempfile.mkdtemp(prefix="skein-")) / "skein.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(at))
+        sc._skein_sent = True
     return df
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, chat, minhash, mixing, token_counts, topk
+from skein.llm import bpe, chat, langid, minhash, mixing, quality, sharding, token_counts, topk, toxicity
 from skein.llm.common import documents
 
 
@@ -89,14 +89,39 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir), shards=16)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judged(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("anomaly")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identified(docs, langid.fit(langid.sample(docs, langid.learned(F.col("doc_id"))))).drop("bits")
+
+
+OPERATORS = (
+    op1_near_dedup, op2_exact_top_k, op3_mixing, op4_chat_format, op5_bpe,
+    op6_toxicity, op7_sharding, op8_token_counts, op9_quality, op10_language,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_top_k, op3_mixing, op4_chat_format, op5_bpe, op8_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

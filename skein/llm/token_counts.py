@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import byte_characters
-from skein.llm.common import small_batches, texts
+from skein.llm.common import for_python, texts
 
 #: Entries of a task's dictionary of cuts, and characters of a cut that may enter it.
 CACHE, CACHED_CHARACTERS = 400_000, 64
@@ -193,7 +193,7 @@ def counted(docs: DataFrame, vocabulary: str, pattern: str, limit: int = 512) ->
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def prefix_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -207,7 +207,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 counts = [own.all_prefixes(x or "") for x in t.rows.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([t.rows.column(0), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "counts"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, counts array<int>")
+    return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, counts array<int>")
 
 
 def fitting_prefix(counts: Column, budget: int) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import stored
+from skein.llm.common import for_python, stored
 
 #: Queries of one block, and rows that are scored at a time.
 QUERIES, ROWS = 4096, 2048
@@ -123,7 +123,7 @@ def _other_phases(asked: dict[int, tuple[np.ndarray, np.ndarray]], least: dict[i
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 4) -> DataFrame:
     """query_id, rank from 1, vec_id, score: for each row of `queries` its k best rows of `vectors`, itself apart."""
-    rows = stored(integers(vectors), "vectors")
+    rows = for_python(stored(integers(vectors), "vectors"))
     asks = integers(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     count = asks.count()
     blocks = max(1, -(-count // QUERIES))
