@@ -1 +1,40 @@
-"""Queries."""
+"""Output formats and nested inputs over the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.plans.graphs import _GEO, geo_edges
+from skein.plans.registry import query
+from skein.session import table
+from skein.sources import writers as W
+
+
+@query(f"WITH {_GEO} SELECT '<urn:' || src || '> <urn:reads> <urn:' || dst || '> <urn:geo> .' AS quad FROM geo")
+def quads_export(spark: SparkSession, d: str) -> DataFrame:
+    return W.edge_quads(geo_edges(spark, d), "geo", prefix="urn:")
+
+
+@query(f"WITH {_GEO} SELECT '    ' || replace(src, ':', '_') || ' -->|reads| ' || replace(dst, ':', '_') AS line FROM geo UNION ALL SELECT 'flowchart TD'")
+def mermaid_export(spark: SparkSession, d: str) -> DataFrame:
+    return W.mermaid(geo_edges(spark, d))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def html_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<p[ >]")).cast("long").alias("paragraphs"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query()
+def sarif_export(spark: SparkSession, d: str) -> DataFrame:
+    """One SARIF result for each finding of the unused-definition rule."""
+    from skein.plans.lints import lint_unused_definition
+
+    found = lint_unused_definition(spark, d).select(F.lit("unused-definitions").alias("rule"), F.lit("certain").alias("certainty"), F.format_string("part %d is never ordered", "p_partkey").alias("message"), F.lit("part.parquet").alias("path"), *[F.lit(1).alias(c) for c in ("sl", "sc", "el", "ec")])
+    return W.sarif(found)
