@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Texts, discard, mix, stored, texts, window_hashes, words
+from skein.llm.common import Texts, discard, for_python, mix, stored, texts, window_hashes, words
 
 BINS, PER_BAND, BANDS = 336, 6, 56
 #: Hash classes of the semi-join that thins out documents before their texts are shuffled: at most 2**20 longs, 8 MB.
@@ -107,7 +107,7 @@ def _sets_of(size: int, bins: int, bands: int):
 
 def shingled(docs: DataFrame, size: int = 5, bins: int = BINS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, digest of the whole set, band keys; the last two null or empty where there is no set."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets_of(size, bins, bands), _SETS)
+    return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets_of(size, bins, bands), _SETS)
 
 
 def _compare(size: int, percent: int):
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = need.join(thin, "b").repartition(parts, "a", "salt")
     dealt = dealt.sortWithinPartitions("a", "salt", (F.col("a") != F.col("b")), "b")
-    return dealt.select("a", "b", "text").mapInArrow(_compare(size, percent), "a long, b long").distinct()
+    return for_python(dealt).select("a", "b", "text").mapInArrow(_compare(size, percent), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -196,10 +196,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     """
     sets = stored(shingled(docs, size, bins, bands), "sets")
     having = sets.where("digest is not null and doc_id is not null")
-    reps = stored(having.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    banded = having.select("doc_id", "digest", "n_shingles", "bands").join(reps, "digest").where("doc_id = rep")
-    banded = banded.select("rep", "n_shingles", F.explode("bands").alias("key")).distinct()
-    banded = stored(banded.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "key"), "banded")
+    reps = having.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    reps = stored(reps, "reps")
+    banded = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("size"))
     shared = stored(shared.where("lead < last").select("key", "lead", "size"), "shared")
     member = stored(banded.join(shared, "key").select("key", "id", "n", "lead", "size"), "member")
