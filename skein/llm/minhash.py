@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from skein.llm.common import Texts, discard, for_python, mix, stored, texts, win
 BINS, PER_BAND, BANDS = 336, 6, 56
 #: Hash classes of the semi-join that thins out documents before their texts are shuffled: at most 2**20 longs, 8 MB.
 CLASSES = 1 << 20
+#: Words of the bitmaps that bound similarities from above.
+MARKS = 32
 #: Rows that are held against one copy of a leader's set; larger groups are dealt to more tasks.
 GROUP = 512
 
@@ -83,7 +87,16 @@ def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, bands array<long>"
+_SETS = "doc_id long, n_shingles long, digest binary, bands array<long>, marks array<long>"
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """MARKS * 64 bits for each set, those set that the hash of a shingle names."""
+    bits = np.zeros((len(sets), MARKS * 64), np.uint8)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    if len(row):
+        bits[row, (np.concatenate(sets) % np.uint64(MARKS * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
 
 
 def _sets_of(size: int, bins: int, bands: int):
@@ -97,16 +110,17 @@ def _sets_of(size: int, bins: int, bands: int):
                 held = np.where(n > 0, bands, 0)
                 offsets = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(keys[n > 0].reshape(-1)))
+                marks = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * MARKS, pa.array(bitmaps(sets).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [t.rows.column(0).cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), lists],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                    [t.rows.column(0).cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), lists, marks],
+                    ["doc_id", "n_shingles", "digest", "bands", "marks"],
                 )
 
     return run
 
 
 def shingled(docs: DataFrame, size: int = 5, bins: int = BINS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, band keys; the last two null or empty where there is no set."""
+    """doc_id, n_shingles, digest of the whole set, band keys, bitmap; digest is null and bands empty without a set."""
     return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets_of(size, bins, bands), _SETS)
 
 
@@ -192,11 +206,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
        only the smallest doc_id of each set goes on.
     2. In each bucket of a band every member is held against the smallest one on the whole sets.
     3. Where a bucket's members still belong to several components, the pairs across components are held against each
-       other as well, so the smallest member's part in it loses no link.
+       other as well, so the smallest member's part in it loses no link - save those whose sizes or bitmaps prove them
+       too different: a bit of one set's bitmap that the other's lacks stands for a shingle that the other lacks.
     """
     sets = stored(shingled(docs, size, bins, bands), "sets")
     having = sets.where("digest is not null and doc_id is not null")
-    reps = having.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    reps = having.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     reps = stored(reps, "reps")
     banded = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("size"))
@@ -207,26 +222,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     same = reps.join(having.select("digest", "doc_id"), "digest").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     named = having.select("doc_id", "digest").join(same, "doc_id").join(reps, "digest").where("rep > a").select("a", F.col("rep").alias("b"))
     links = links.union(named)
-    labelled = components(links)
+    labelled = stored(components(links), "labelled")
     left = member.where("size > 2").join(labelled, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    left = stored(left.join(mixed, "key").select("key", "id", "n", "lead", "component"), "left")
-    one, two = left.alias("one"), left.alias("two")
+    # the bucket's commonest component is joined with the others, never with itself
+    tally = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mixed = tally.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1")
+    marks = reps.select(F.col("rep").alias("id"), *[F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)])
+    left = left.join(mixed.select("key", F.col("x.component").alias("main")), "key").select("key", "id", "n", "lead", "component", "main")
+    left = stored(left.join(marks, "id"), "left")
+    one, two = left.where("component <> main").alias("one"), left.alias("two")
+    lacking = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    lacks = lambda a, b: reduce(add, [lacking(F.col(f"{a}.m{i}"), F.col(f"{b}.m{i}")) for i in range(MARKS)])
+    most = F.least(F.col("one.n") - lacks("one", "two"), F.col("two.n") - lacks("two", "one"))
     across = one.join(
         two,
         (F.col("one.key") == F.col("two.key"))
-        & (F.col("one.id") < F.col("two.id"))
         & (F.col("one.component") != F.col("two.component"))
+        & ((F.col("two.component") == F.col("two.main")) | (F.col("one.id") < F.col("two.id")))
         & (F.col("one.id") != F.col("one.lead"))
-        & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent),
+        & (F.col("two.id") != F.col("two.lead"))
+        & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent)
+        & (most * 100 >= (F.col("one.n") + F.col("two.n") - most) * percent),
     )
-    across = stored(across.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct(), "across")
+    pair = (F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"))
+    across = stored(across.select(*pair).distinct(), "across")
     if not across.isEmpty():
         more = stored(verified(across, docs, size, percent), "more")
         if not more.isEmpty():
-            labelled = components(links.union(more))
+            labelled = components(labelled.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
     of_set = reps.join(labelled, reps.rep == labelled.id, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     own = F.when(F.col("digest").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
