@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.llm.common import Texts, discard, for_python, mix, stored, texts, window_hashes, words
 
@@ -256,3 +257,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     out = out.select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
+
+def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with their columns, of which one stays for each group of near copies: the one with the smallest
+    doc_id. Of rows with one doc_id the one whose text sorts first stays; rows without doc_id all stay.
+
+    Only rows whose id falls into a hash class of an id that has to go, or occurs twice, are shuffled.
+    """
+    found = stored(near_duplicates(docs, size, percent), "found").select("doc_id", "kept").where("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
+    doubtful = stored(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "doubtful")
+    class_of = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(CLASSES))
+    classes = F.broadcast(doubtful.select(F.pmod(F.xxhash64("_id"), F.lit(CLASSES)).alias("_class")).distinct())
+    sure = docs.join(classes, class_of == F.col("_class"), "left_anti")
+    rest = docs.join(classes, class_of == F.col("_class"), "left_semi")
+    rest = rest.join(doubtful, F.col("doc_id").cast("long") == F.col("_id"), "left").where(F.coalesce(F.col("_kept"), F.lit(True)))
+    first = Window.partitionBy("doc_id").orderBy("text")
+    rest = rest.withColumn("_row", F.row_number().over(first)).where((F.col("_row") == 1) | F.col("doc_id").isNull())
+    return sure.unionByName(rest.select(*docs.columns))
