@@ -51,7 +51,7 @@ def points(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, the dimensions, and tie (a hash of the text below HASHES)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     n_bytes, n_chars = F.octet_length(text), F.length(text)
-    ratio = lambda a, b: F.least(F.floor(a * (SCALE - 1) / F.greatest(b, F.lit(1))), F.lit(SCALE - 1)).cast("long")
+    ratio = lambda a, b: F.least(F.floor(a.cast("long") * (SCALE - 1) / F.greatest(b, F.lit(1))), F.lit(SCALE - 1)).cast("long")
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
     return docs.select(

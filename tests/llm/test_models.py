@@ -1,0 +1,176 @@
+"""Language ID, toxicity and quality: exact parts against brute force, models on held-out rows."""
+
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from skein.llm import langid, quality, toxicity
+from skein.llm.common import documents
+
+DIR = "/root/testdata/sf0.01"
+
+
+# language ID
+
+
+def brute_cost(text, samples, order):
+    """Bits of a text after a language's samples, byte by byte, by the definition."""
+    table = {c: c for c in range(97, 123)} | {c: c + 32 for c in range(65, 91)} | {c: c for c in range(128, 256)}
+
+    def read(t):
+        out = [0]
+        for b in t:
+            x = table.get(b, 0)
+            if x or out[-1]:
+                out.append(x)
+        return out
+
+    seen = defaultdict(Counter)
+    for s in samples:
+        b = [0] * order + read(s)
+        for i in range(order + 1, len(b)):
+            for n in range(order + 1):
+                seen[tuple(b[i - n : i])][b[i]] += 1
+    b, bits = [0] * order + read(text), 0.0
+    for i in range(order + 1, len(b)):
+        for n in range(order, -1, -1):
+            here = seen.get(tuple(b[i - n : i]))
+            if here is None:
+                continue
+            total, kinds = sum(here.values()), len(here)
+            if b[i] in here:
+                bits -= math.log2(here[b[i]] / (total + kinds))
+                break
+            bits -= math.log2(kinds / (total + kinds))
+        else:
+            bits += 8
+    return bits
+
+
+def test_costs_by_definition():
+    samples = {"en": [b"the cat sat on the mat", b"The dog  and the cat"], "de": ["der Hund und die Kätzchen".encode()]}
+    model = langid.fit(samples, order=3)
+    texts = [b"the hat", "Die Kätze!! 12".encode(), b"", b"  ", b"zzz"]
+    buf, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got, _ = langid.costs(model, buf, bounds)
+    for i, t in enumerate(texts):
+        for k, name in enumerate(model.languages):
+            assert got[i, k] == pytest.approx(brute_cost(t, samples[name], 3))
+
+
+def test_held_out_language(spark):
+    docs = documents(spark, DIR)
+    model = langid.fit(langid.sample(docs, langid.learned(F.col("doc_id"))))
+    got = langid.identified(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) and 0 <= x.score <= 1 for x in got)
+    held = [x.lang_pred == x.lang for x in got if x.held_out]
+    assert np.mean(held) > 0.97
+
+
+def test_language_of_odd_rows(odd, none, rows):
+    model = langid.fit(langid.sample(odd, F.lit(True), least=1))
+    got = langid.identified(odd, model).collect()
+    assert len(got) == len(rows)
+    und = {x.doc_id for x in got if x.lang_pred == "und"}
+    assert und >= {3, 4, 5, 11} and not und & {1, 2, 6, 8, 9, 10, 12}
+    assert langid.accepted(odd, model).columns == odd.columns
+    nothing = langid.fit(langid.sample(none, F.lit(True)))
+    assert {x.lang_pred for x in langid.identified(odd, nothing).collect()} == {"und"}
+    assert langid.identified(none, nothing).count() == 0
+
+
+# toxicity
+
+
+def test_held_out_toxicity(spark):
+    docs, labels = documents(spark, "/root/testdata/sf0.1"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = toxicity.scored(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    bad, good = [x.score for x in got if x.toxic], [x.score for x in got if not x.toxic]
+    auc = np.mean([[(b > g) + 0.5 * (b == g) for g in good] for b in bad])
+    assert auc > 0.95
+    assert np.mean([x.predicted for x in got if not x.toxic]) < 0.01
+    assert all(x.predicted == (x.score >= 0.5) and 0 <= x.score <= 1 for x in got)
+
+
+def test_terms_of_rows(spark):
+    from skein.llm.common import Texts
+
+    texts = [b"ab cd", b"cd", b"", b"Stupid, stupid!", b"x"]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    t = Texts(None, buf, np.concatenate([[0], np.cumsum([len(x) for x in texts])]), np.ones(5, bool))
+    got = toxicity.terms(t)
+    assert [len(x) for x in got] == [2, 1, 0, 3, 1]
+    assert set(got[1]) < set(got[0])
+
+
+def test_pairs_weigh_more_than_their_parts():
+    """Neither term alone is bad, both together are: a sum of weights cannot say that."""
+    rows = [np.array(x) for x in ([0], [1], [0, 1], []) for _ in range(40)]
+    labels = np.repeat([0.0, 0.0, 1.0, 0.0], 40)
+    model = toxicity.fit(rows, labels, np.arange(2, dtype=np.int32), steps=800)
+    assert (toxicity.scores(model, [np.array(x, np.int32) for x in ([0], [1], [0, 1], [])]) >= 0.5).tolist() == [False, False, True, False]
+
+
+def test_toxicity_of_odd_rows(spark, odd, none, rows):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (8, 0), (8, 1), (12, 1), (9, None), (77, 1)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels)
+    assert toxicity.scored(odd, model).count() == len(rows)
+    assert toxicity.accepted(odd, model).columns == odd.columns
+    empty = toxicity.train(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {x.predicted for x in toxicity.scored(odd, empty).collect()} == {0}
+    assert toxicity.scored(none, empty).count() == 0
+
+
+# quality
+
+
+def brute_statistics(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] >= 2 for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def test_statistics(spark, odd, none):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    for docs in (documents(spark, DIR), odd):
+        model = quality.train(docs, labels)
+        want = sorted((str(x.doc_id), *brute_statistics(x.text)) for x in docs.select("doc_id", "text").collect())
+        got = quality.judged(docs, model).collect()
+        assert sorted((str(x.doc_id), *x[1:6]) for x in got) == want
+        for x in got:
+            assert x.base_failed == (x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words)
+            assert not (x.base_failed and x.kept)
+    assert quality.judged(none, quality.train(none, labels)).count() == 0
+
+
+def test_good_rows_stay(spark):
+    docs, labels = documents(spark, DIR), spark.read.parquet(f"{DIR}/labels.parquet")
+    got = quality.judged(docs, quality.train(docs, labels)).join(labels, "doc_id").where("not base_failed").collect()
+    assert np.mean([x.kept for x in got if x.quality == 1]) > 0.98
+    assert np.mean([x.kept for x in got if x.quality == 0]) < 0.85
+
+
+def test_forest_finds_the_odd_one():
+    rng = np.random.default_rng(0)
+    rows = rng.normal(size=(500, 3)).astype(np.float32)
+    rows[0] = 9
+    scores = quality.anomaly(quality.grow(rows), rows)
+    assert scores.argmax() == 0 and scores[0] > 0.7
+
+
+def test_calibration():
+    scores, good = np.array([0.9, 0.8, 0.7, 0.6, 0.5]), np.array([False, False, True, True, True])
+    assert 0.7 < quality.calibrate(scores, good) < 0.8
+    assert quality.calibrate(scores, np.ones(5, bool)) == np.inf
