@@ -1,12 +1,8 @@
-"""What the operators share: stored tables that outlive executors, and word hashing over Arrow text buffers."""
+"""What the operators share: small Arrow batches, and word hashing over Arrow text buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -14,45 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.frontend.shipping import ship
+
 #: A word is a run of bytes outside \x20 and \x09-\x0D, the same set whether read as bytes or as code points.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step handles at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where nothing is set."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        of = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = of.get() if of.isDefined() else ""
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: lineage ends here, and no executor's loss costs it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._skein_path = path
-    return back
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes tables of stored() that nothing will read again."""
-    for df in frames:
-        if path := getattr(df, "_skein_path", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: Bytes of an Arrow batch to a Python worker, where the session does not say otherwise. Texts are long, and JVM and
 #: worker both hold batches.
 BATCH_BYTES = "4m"
@@ -65,15 +28,7 @@ def for_python(df: DataFrame) -> DataFrame:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark._jsparkSession.conf().contains(key):
         spark.conf.set(key, BATCH_BYTES)
-    sc = spark.sparkContext
-    if not getattr(sc, "_skein_sent", False):
-        top = Path(__file__).resolve().parent.parent
-        at = Path(tempfile.mkdtemp(prefix="skein-")) / "skein.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(str(at))
-        sc._skein_sent = True
+    ship(spark)
     return df
 
 

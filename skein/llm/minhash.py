@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import Texts, discard, for_python, mix, stored, texts, window_hashes, words
+from skein.llm.common import Texts, for_python, mix, texts, window_hashes, words
+from skein.storage import discard, stored
 
 BINS, PER_BAND, BANDS = 336, 6, 56
 #: Hash classes of the semi-join that thins out documents before their texts are shuffled: at most 2**20 longs, 8 MB.

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import WORD, discard, stored
+from skein.llm.common import WORD
+from skein.storage import discard, stored
 
 WEIGHTS = (5, 2, 1)
 #: Bins of each histogram of the cut.

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import for_python, stored
+from skein.llm.common import for_python
+from skein.storage import stored
 
 #: Queries of one block, and rows that are scored at a time.
 QUERIES, ROWS = 4096, 2048

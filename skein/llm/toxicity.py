@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Texts, crc32_of_id, for_python, span_hashes, stored, texts
+from skein.llm.common import Texts, crc32_of_id, for_python, span_hashes, texts
+from skein.storage import stored
 
 ROWS, TERMS, CLASSES = 12_000, 3_000, 1 << 22
 BEGINNINGS = (4, 5, 6, 7)
