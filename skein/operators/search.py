@@ -132,7 +132,8 @@ class Search:
         return self.get(line=line, column=column, fuzzy=True)
 
     def criterion(self, *criteria: str) -> Search:
-        """Slicing criteria: `$id`, `line:column`, `line~column`, `line@name`, `line@[n]name` (the n-th in the line)."""
+        """Slicing criteria: `$id`, `line:column`, `line~column`, `line@name`, `line@[n]name` (the n-th in
+        a file's line)."""
         out: Search | None = None
         for c in criteria:
             if c.startswith("$"):
@@ -141,7 +142,9 @@ class Search:
                 line, name = c.split("@", 1)
                 if name.startswith("["):
                     n, name = name[1:].split("]", 1)
-                    one = self.get(line=int(line), name=name).index(int(n) - 1)
+                    found = self.get(line=int(line), name=name).frame
+                    nth = F.row_number().over(Window.partitionBy("file_id").orderBy(*_order(self.keys)))
+                    one = self._with(found.withColumn("_n", nth).where(F.col("_n") == int(n)).drop("_n"))
                 else:
                     one = self.get(line=int(line), name=name)
             elif "~" in c:
