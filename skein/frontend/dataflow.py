@@ -53,9 +53,10 @@ class Flow:
         self.reads: list[tuple[int, str, frozenset[int]]] = []
         self.cds: list[tuple[int, bool]] = []
         self.libraries: list[tuple[int, str]] = []
-        self.calling: set[int] = set()
         for _, child in root.children:
             self.visit(child)
+        for f in list(self.functions.values()):
+            self.late(f)
         self.follow(root.children, [], [])
 
     # records
@@ -313,14 +314,24 @@ class Flow:
                     if place is not None:
                         self.edge(place, i, DEFINED_BY_ON_CALL)
                         self.edge(i, place, DEFINES_ON_CALL)
-            for user, name in f.open:
-                for d in self.lookup(name):
-                    self.edge(user, d, READS)
+            self.late(f)
             for name, ids in f.outer.items():
                 self.define(name, self.lookup(name) | ids)
                 for i in ids:
                     self.edge(n.id, i, SIDE_EFFECT)
 
+    def late(self, f: Function) -> None:
+        """Links a function's free names to what they mean now."""
+        for user, name in f.open:
+            found = self.lookup(name)
+            for d in found:
+                self.edge(user, d, READS)
+            if self.vertices.get(user, ("",))[0] == "function-call":
+                for g in self.functions_of(found):
+                    self.edge(user, g.node.id, CALLS)
+                    for x in g.exits:
+                        self.edge(user, x, RETURNS)
+
     def on_RFunctionDefinition(self, n: Node) -> list[int]:
         f = Function(n)
         self.functions[n.id] = f
