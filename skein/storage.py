@@ -21,9 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
 
 
+_paths: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and no executor's loss costs it."""
     path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._skein_path = path
@@ -34,5 +43,11 @@ def discard(*frames: DataFrame) -> None:
     """Deletes tables of stored() that nothing will read again."""
     for df in frames:
         if path := getattr(df, "_skein_path", None):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+            _paths.remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this process stored. Results that were not written or collected yet are lost with them."""
+    while _paths:
+        _delete(spark, _paths.pop())

@@ -13,4 +13,7 @@ def spark():
     s = session("tests", cores=4)
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from skein.storage import release
+
+    release(s)
     s.stop()
