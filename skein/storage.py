@@ -44,7 +44,8 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         if path := getattr(df, "_skein_path", None):
             _delete(df.sparkSession, path)
-            _paths.remove(path)
+            if path in _paths:
+                _paths.remove(path)
 
 
 def release(spark: SparkSession) -> None:
