@@ -313,3 +313,91 @@ def linter(p: Program, rules: Sequence[str] | None = None) -> DataFrame:
         one = found[name]().select(F.lit(name).alias("rule"), "file_id", "id", "certainty")
         out = one if out is None else out.union(one)
     return out
+
+
+@query("inspect-strictness")
+def inspect_strictness(p: Program) -> DataFrame:
+    """function, param, strict: TRUE if the parameter's value is used on every way through the function, NULL if on some,
+    FALSE if on none."""
+    from skein.operators.lint import every_branch
+
+    up = p.nodes.select(F.col("node_id").alias("id"), "parent_id", "role", "lexeme")
+    params = up.where("role = 'param-name'").select(F.col("id").alias("param"), F.col("lexeme").alias("name"), F.col("parent_id").alias("p"))
+    params = params.join(up.select(F.col("id").alias("p"), F.col("parent_id").alias("function")), "p").select("function", "param", "name")
+    reads = p.edges.where(G.includes(F.col("types"), G.READS)).select(F.col("src").alias("use"), F.col("dst").alias("param"))
+    uses = params.join(reads, "param").join(p.vertices.select(F.col("id").alias("use"), "branches"), "use")
+    free = uses.where(F.size("branches") == 0).select("param").distinct().withColumn("always", F.lit(True))
+    # a use under several conditions needs them all; only single ones can make up all branches
+    alone = uses.where(F.size("branches") == 1).select("param", F.col("branches")[0].alias("b"))
+    deps = alone.select("param", F.regexp_replace("b", ":[TF]$", "").alias("id"), F.col("b").endswith(":T").alias("when"))
+    covered = every_branch(deps, ["param"])
+    some = uses.select("param").distinct().withColumn("some", F.lit(True))
+    out = params.join(free, "param", "left").join(covered, "param", "left").join(some, "param", "left")
+    strict = F.when(F.coalesce("always", F.lit(False)) | F.coalesce("covered", F.lit(False)), F.lit(True)).when(F.col("some").isNull(), F.lit(False))
+    return out.select("function", F.col("name").alias("param"), strict.alias("strict"))
+
+
+@query("files")
+def files(p: Program, listing: DataFrame, roles: Sequence[str] | None = None, path: str | None = None) -> DataFrame:
+    """Project files (path, role) by role and path."""
+    out = listing if roles is None else listing.where(F.col("role").isin(list(roles)))
+    return out if path is None else out.where(F.col("path").rlike(path))
+
+
+@query("project")
+def project(p: Program, listing: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """key, value: the project's name and version, its files by role, its scripts, nodes, vertices and edges."""
+    text = lambda k, c: (F.lit(k).alias("key"), c.cast("string").alias("value"))
+    out = listing.groupBy("role").count().select(F.concat(F.lit("files:"), "role").alias("key"), F.col("count").cast("string").alias("value"))
+    for name, rows in (("nodes", p.nodes), ("vertices", p.vertices), ("edges", p.edges)):
+        out = out.union(rows.agg(F.count("*").alias("n")).select(*text(name, F.col("n"))))
+    if fields is not None:
+        known = {"Package": "name", "Version": "version", "Title": "title", "License": "license"}
+        out = out.union(fields.where(F.col("key").isin(*known)).select(F.lower(F.when(F.col("key") == "Package", "name").otherwise(F.col("key"))).alias("key"), "value"))
+    return out
+
+
+@query("signature")
+def signature(p: Program, db: Any, package: str | None = None, function: str | None = None, version: str | None = None, callees: bool = False) -> DataFrame:
+    """Packages, functions or callees of a signature database."""
+    if callees:
+        return db.callees(package, function, version)
+    return db.functions(package, function, version) if function else db.packages(package)
+
+
+@query("guess-dep-versions")
+def guess_dep_versions(p: Program, db: Any, constraints: DataFrame | None = None, date: str | None = None, rounds: int = 8) -> DataFrame:
+    """pkg, lowest, highest, versions: which versions of the packages that programs attach go with what they call."""
+    wanted = p.libraries.select(F.col("package").alias("pkg")).distinct()
+    given = constraints if constraints is not None else p.rows.sparkSession.createDataFrame([], "pkg string, constraint string")
+    wanted = wanted.join(given, "pkg", "full")
+    calls = p.calls().where("size(origin) = 0 or ns is not null").select("name", "ns").distinct()
+    qualified = calls.where("ns is not null").select(F.col("ns").alias("pkg"), "name")
+    # an unqualified call counts for the only attached package that ever had the function
+    owners = calls.where("ns is null").join(db.fn.select("pkg", "name").distinct(), "name").join(wanted.select("pkg"), "pkg", "left_semi")
+    sole = owners.groupBy("name").agg(F.min("pkg").alias("pkg"), F.count("*").alias("n")).where("n = 1").select("pkg", "name")
+    return db.ranges(db.feasible(wanted, qualified.union(sole), date, rounds))
+
+
+@query("absint")
+def absint(p: Program, sources: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Shapes of the frames of programs: sources (file_id, content)."""
+    from skein.frontend.shapes import inferred
+
+    out = inferred(sources)
+    return out if names is None else out.where(F.col("name").isin(list(names)))
+
+
+@query("config")
+def config(p: Program, update: Mapping[str, str] | None = None) -> DataFrame:
+    """key, value of the session's settings, after the given ones are set."""
+    spark = p.rows.sparkSession
+    for k, v in (update or {}).items():
+        spark.conf.set(k, v)
+    return spark.createDataFrame(sorted((k, str(v)) for k, v in spark.conf.getAll.items()), "key string, value string")
+
+
+@query("search")
+def search(p: Program, build: Callable[[S.Search], S.Search]) -> DataFrame:
+    """A search over the program's nodes."""
+    return build(S.Search(p.nodes)).frame

@@ -72,3 +72,25 @@ def test_run_isolates_errors(program):
         assert QUERIES[name](program).count() > 0
     assert QUERIES["provenance"](program, ["5@y"]).count() > 0 and QUERIES["origin"](program, ["5@y"]).count() > 0
     assert QUERIES["dice"](program, ["3@x"], ["5@y"]).count() > 0 and QUERIES["static-slice"](program, ["5@y"], code=True).count() > 0
+
+
+def test_strictness(spark):
+    code = "f <- function(a, b, c, d) {\n  if (a > 0) {\n    x <- b + c\n  } else {\n    x <- b\n  }\n  x\n}\n"
+    p = Program(spark.createDataFrame([("s", code)], "file_id string, content string"))
+    assert {x.param: x.strict for x in QUERIES["inspect-strictness"](p).collect()} == {"a": True, "b": True, "c": None, "d": False}
+
+
+def test_project_queries(spark, program):
+    from skein.operators.signatures import EXPORTED, Signatures
+
+    listing = spark.createDataFrame([("R/a.R", "source"), ("LICENSE", "license")], "path string, role string")
+    assert QUERIES["files"](program, listing, roles=["license"]).count() == 1
+    assert ("files:source", "1") in {tuple(x) for x in QUERIES["project"](program, listing).collect()}
+    db = Signatures.of(spark, pkg_version=[("dplyr", "0.5", None), ("dplyr", "1.0", None)], fn=[("dplyr", "1.0", "undefined_thing2", EXPORTED)])
+    got = QUERIES["guess-dep-versions"](program, db, spark.createDataFrame([("dplyr", ">= 0.9")], "pkg string, constraint string")).collect()
+    assert [(x.pkg, x.lowest) for x in got] == [("dplyr", "1.0")]
+    assert QUERIES["signature"](program, db, package="dp*").first().newest == "1.0"
+    sources = spark.createDataFrame([("z", "x <- data.frame(a = 1:3)")], "file_id string, content string")
+    assert QUERIES["absint"](program, sources, ["x"]).first().rows_hi == 3.0
+    assert QUERIES["config"](program).count() > 0
+    assert QUERIES["search"](program, lambda s: s.get(name="x", path=None).take(2)).count() == 2
