@@ -1 +1 @@
-
+"""Programs as they arrive: new files are analysed batch by batch."""
