@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import for_python, texts
 
 #: Entries of a task's dictionary of cuts, and bytes of a cut that may enter it.
-CACHE, CACHED_BYTES = 400_000, 64
+CACHE, CACHED_BYTES = 100_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:

@@ -15,7 +15,7 @@ from skein.frontend.shipping import ship
 #: A word is a run of bytes outside \x20 and \x09-\x0D, the same set whether read as bytes or as code points.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step handles at once; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Bytes of an Arrow batch to a Python worker, where the session does not say otherwise. Texts are long, and JVM and
 #: worker both hold batches.
 BATCH_BYTES = "4m"
@@ -72,8 +72,10 @@ def texts(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -
         last = max(last + 1, int(np.searchsorted(offsets, offsets[last] + step, "right")) - 1)
         cuts.append(min(last, n))
     for a, b in zip(cuts, cuts[1:], strict=False):
-        lo, hi = offsets[a], offsets[b]
+        lo, hi = int(offsets[a]), int(offsets[b])
         yield Texts(batch.slice(a, b - a), data[lo:hi], offsets[a : b + 1] - lo, valid[a:b])
+    # Arrow keeps what batches needed; a worker lives on and runs other steps
+    pa.default_memory_pool().release_unused()
 
 
 _rng = np.random.default_rng(0x5EED)

@@ -29,7 +29,7 @@ from skein.llm.bpe import byte_characters
 from skein.llm.common import for_python, texts
 
 #: Entries of a task's dictionary of cuts, and characters of a cut that may enter it.
-CACHE, CACHED_CHARACTERS = 400_000, 64
+CACHE, CACHED_CHARACTERS = 100_000, 64
 #: The contractions that the pattern cuts off whole.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -77,7 +77,7 @@ class Counter:
         self.is_space = regex.compile(r"\s+").fullmatch
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.agree: dict[tuple[int, int], bool] = {}
+        self.agree: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
 
     def _agrees(self, a: int, b: int) -> bool:
@@ -106,9 +106,9 @@ class Counter:
                     continue
                 before = last[start]
                 if before >= 0:
-                    ok = agree.get((before, token))
+                    ok = agree.get(pair := before << 20 | token)
                     if ok is None:
-                        ok = agree[before, token] = self._agrees(before, token)
+                        ok = agree[pair] = self._agrees(before, token)
                     if not ok:
                         continue
                 counts[end], last[end] = counts[start] + 1, token
@@ -120,7 +120,7 @@ class Counter:
         if len(cut) <= CACHED_CHARACTERS:
             if len(self.totals) > CACHE:
                 self.totals.clear()
-            if len(self.agree) > 4 * CACHE:
+            if len(self.agree) > 2 * CACHE:
                 self.agree.clear()
             self.totals[cut] = n
         return n
