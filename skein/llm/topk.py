@@ -66,10 +66,6 @@ def _partial(q: np.ndarray, v: np.ndarray, parts: int) -> np.ndarray:
     return np.stack([q[:, s] @ v[:, s].T for s in np.array_split(np.arange(q.shape[1]), parts)])
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
 def _first_phase(asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top: dict[int, list[tuple[int, int]]] = {}

@@ -29,8 +29,6 @@ from skein.storage import stored
 ROWS, TERMS, CLASSES = 12_000, 3_000, 1 << 22
 BEGINNINGS = (4, 5, 6, 7)
 RANK, STEPS, DECAY = 4, 400, 0.02
-#: Standard errors by which a chosen term's shares differ at least.
-Z = 0.0
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -139,7 +137,7 @@ def choose(counts: DataFrame, n: int, toxic: int, most: int = TERMS) -> DataFram
     a, b = (F.col("toxic") + 0.1) / (toxic + 0.2), (F.col("n") - F.col("toxic") + 0.1) / (n - toxic + 0.2)
     p = (F.col("n") + 0.1) / (n + 0.2)
     z = F.abs(a - b) / F.sqrt(p * (1 - F.least(p, F.lit(0.999))) * (1 / (toxic + 0.2) + 1 / (n - toxic + 0.2)))
-    return counts.where("n >= 2").withColumn("z", z).where(F.col("z") >= Z).orderBy(F.desc("z"), "term").limit(most)
+    return counts.where("n >= 2").withColumn("z", z).orderBy(F.desc("z"), "term").limit(most)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> Model:
