@@ -36,7 +36,7 @@ CLASSES = 1 << 20
 #: Words of the bitmaps that bound similarities from above.
 MARKS = 32
 #: Rows that are held against one copy of a leader's set; larger groups are dealt to more tasks.
-GROUP = 512
+GROUP = 128
 
 
 def shingle_sets(t: Texts, size: int) -> list[np.ndarray]:
@@ -184,14 +184,15 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that the joins deal out both sides anew and a hot node's rows can be split
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = stored(small.select("e.u", "e.v").where("u > v").distinct(), "small")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(now, large)
+        discard(now, large, least, low)
         now = after
         if tuple(mark) == seen:
             break
