@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.llm.common import crc32_of_id, for_python, texts
+from skein.storage import stored
 
 ORDER, PER_LANGUAGE, LEAST = 4, 400, 5
 #: How fast a difference of one bit a byte turns into odds, and bits a byte above which a text is no known language.
@@ -159,15 +160,18 @@ def has_letter(text: Column) -> Column:
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, least: int = LEAST) -> dict[str, list[bytes]]:
     """Texts to learn from: of each language at most per_language rows, those with the least hash of doc_id.
 
-    Each task sorts out its own rows first, so no language is gathered in one task.
+    No language is gathered in one task, however many rows it has.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    chosen = chosen.withColumn("n", F.count("*").over(Window.partitionBy("lang"))).where(F.col("n") >= least).select("doc_id", "lang").distinct()
+    # of a large language only rows with a low hash go on: three times as many as wanted, so the least ones are among them
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least), "counts")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    low = rows.join(counts, "lang").where(place.cast("double") * F.col("n") < 3.0 * per_language * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = low.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
     picked = docs.where(learn).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     out: dict[str, list[bytes]] = {}
-    for x in picked.orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+    for x in picked.orderBy("lang", place, "doc_id", "text").toLocalIterator():
         own = out.setdefault(x.lang, [])
         if x.text and len(own) < per_language:
             own.append(x.text.encode())
