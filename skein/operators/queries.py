@@ -283,9 +283,41 @@ def input_sources(p: Program, criteria: Sequence[str]) -> DataFrame:
     return of.withColumn("kind", kind).where("kind is not null").select(F.col("root").alias("id"), F.col("id").alias("source"), "kind").distinct()
 
 
+def _documented(p: Program) -> DataFrame:
+    """file_id, function, param, side: parameters that only the documentation above a function or only the function has."""
+    from skein.operators.lint import missing
+
+    notes = p.nodes.where("type = 'RComment' and lexeme like '#\\'%'").select("file_id", "sl", "lexeme")
+    island = F.col("sl") - F.row_number().over(Window.partitionBy("file_id").orderBy("sl"))
+    blocks = notes.withColumn("block", island)
+    ends = blocks.groupBy("file_id", "block").agg(F.max("sl").alias("end"))
+    named = F.regexp_extract("lexeme", r"^#'\s*@param\s+(\S+)", 1)
+    tags = blocks.where(named != "").select("file_id", "block", F.explode(F.split(named, ",")).alias("param")).join(ends, ["file_id", "block"])
+    functions = p.nodes.where("type = 'RFunctionDefinition'").select("file_id", F.col("node_id").alias("function"), F.col("sl").alias("line"))
+    own = functions.join(tags, (functions["file_id"] == tags["file_id"]) & (F.col("line") == F.col("end") + 1)).select(functions["file_id"], "function", "param")
+    names = p.nodes.where("role = 'param-name'").select(F.col("parent_id").alias("q"), F.col("lexeme").alias("param"))
+    declared = p.nodes.where("role = 'function-def-param'").select("file_id", F.col("node_id").alias("q"), F.col("parent_id").alias("function")).join(names, "q")
+    declared = declared.join(own.select("function").distinct(), "function", "left_semi").select("file_id", "function", "param")
+    return missing(own, declared, ["file_id", "function"])
+
+
+def _problematic(p: Program, names: Sequence[str] = ("eval", "system", "system2", "shell")) -> DataFrame:
+    """Calls whose inputs are more than constants: a parameter, a name without definition, or the result of a call."""
+    calls = p.calls().where(F.col("name").isin(*names)).select("file_id", "id")
+    plain = ("<-", "=", "->", "<<-", "c", "paste", "paste0", "(", "{", "if", "file.path", *QUOTED)
+    inputs = p.edges.where(G.includes(F.col("types"), G.ARGUMENT)).select(F.col("src").alias("root"), F.col("dst").alias("id")).join(calls.withColumnRenamed("id", "root"), "root", "left_semi")
+    reached = G.closure(p.data_edges().where(G.includes(F.col("types"), G.FOLLOWED) & ~G.includes(F.col("types"), G.NSE)), inputs).select("root", "id")
+    params = p.nodes.where("role = 'param-name'").select(F.col("node_id").alias("id"), F.lit(True).alias("param"))
+    known = p.edges.where(G.includes(F.col("types"), G.READS)).select(F.col("src").alias("id"), F.lit(True).alias("defined")).distinct()
+    of = reached.join(p.vertices.select("id", "tag", "name"), "id").join(params, "id", "left").join(known, "id", "left")
+    open_ = ((F.col("tag") == "function-call") & ~F.col("name").isin(*plain)) | F.col("param") | ((F.col("tag") == "use") & F.col("defined").isNull())
+    return calls.join(of.where(open_).select(F.col("root").alias("id")).distinct(), "id", "left_semi")
+
+
 @query("linter")
-def linter(p: Program, rules: Sequence[str] | None = None) -> DataFrame:
-    """rule, file_id, id, certainty of the rules on programs."""
+def linter(p: Program, rules: Sequence[str] | None = None, listing: DataFrame | None = None, deprecated: DataFrame | None = None) -> DataFrame:
+    """rule, file_id, id, certainty of the rules on programs. Rules on project files (path, role) need a listing, that on
+    deprecated functions a table (name, since)."""
     from skein.operators import lint as L
 
     strings = p.nodes.where("type = 'RString'").select("file_id", F.col("node_id").alias("id"), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v").alias("text"))
@@ -307,7 +339,22 @@ def linter(p: Program, rules: Sequence[str] | None = None) -> DataFrame:
         "naming-convention": lambda: L.naming(defined.dropDuplicates(["file_id", "name"]), "name").withColumn("certainty", F.lit("uncertain")),
         "no-leaked-credentials": lambda: L.secrets(strings, "text").select("file_id", "id").union(defined.where(F.col("name").rlike(L.SECRET_NAMES)).join(secret, "id", "left_semi").select("file_id", "id")).withColumn("certainty", F.lit("uncertain")),
         "useless-loop": lambda: L.useless_loops(loops).withColumn("certainty", F.lit("certain")),
+        "problematic-inputs": lambda: _problematic(p).withColumn("certainty", F.lit("uncertain")),
+        "roxygen-arguments": lambda: _documented(p).select("file_id", F.col("function").alias("id"), F.lit("certain").alias("certainty")),
+        "unclosed-connection": lambda: L.unclosed(calls, F.col("name").isin("file", "url", "gzfile", "bzfile", "fifo"), F.col("name") == "close", ["file_id"], ["sl", "sc"]).withColumn("certainty", F.lit("uncertain")),
     }
+    if listing is not None:
+        paths = listing.select(F.col("path").alias("value")).distinct()
+        reads = dependencies(p, ["read", "source"]).where("value is not null and not value rlike '^[a-z]+://'")
+        written = dependencies(p, ["write"]).select("file_id", "value").distinct()
+        project = lambda x, rule: L.absent(x, rule).select(F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("id"), "certainty")
+        found |= {
+            "file-path-validity": lambda: reads.join(paths, "value", "left_anti").join(written, ["file_id", "value"], "left_anti").withColumn("certainty", F.lit("certain")),
+            "software-has-license": lambda: project(listing.where("role = 'license'"), "software-has-license"),
+            "software-has-tests": lambda: project(listing.where("role = 'test'"), "software-has-tests"),
+        }
+    if deprecated is not None:
+        found["deprecated-functions"] = lambda: L.deprecated(calls, deprecated).withColumn("certainty", F.lit("certain"))
     out = None
     for name in rules or found:
         one = found[name]().select(F.lit(name).alias("rule"), "file_id", "id", "certainty")

