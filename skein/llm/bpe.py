@@ -6,7 +6,7 @@ rank, and the normaliser is the identity; merging the best-scored pair first is
 Texts are cut by the vocabulary's pattern, each cut's bytes are mapped and encoded; ids are decoded by the inverse map.
 
 The vocabulary is read once on the driver and goes to the tasks with the function: its size is fixed. Cuts that were
-seen before come from a dictionary that holds at most CACHE entries and is emptied when full.
+seen before come from a dictionary of bounded size.
 
 Defined cases: a null text is the empty text, which has no ids; special strings in texts are ordinary text; repeated
 rows and null ids are kept as they come; columns but doc_id and text are ignored.
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import for_python, texts
 
-#: Entries of a task's dictionary of cuts, and bytes of a cut that may enter it.
-CACHE, CACHED_BYTES = 100_000, 64
+#: Entries of a worker's dictionary of cuts, and characters of a cut that may enter it. A full dictionary becomes the old
+#: one, from which cuts that occur again are taken over, so frequent cuts stay.
+CACHE, CACHED_CHARACTERS = 60_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -92,6 +93,7 @@ class Codec:
         char = byte_characters()
         self.mapped = {i: c for i, c in enumerate(char)}
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.text_of = [str(i) for i in range(len(tokens))]
 
     def _encode_new(self, cuts: list[str]) -> dict[str, tuple[int, ...]]:
@@ -110,9 +112,11 @@ class Codec:
         """The ids of each text."""
         cuts = [self.cut(t) for t in rows]
         if len(self.seen) > CACHE:
-            self.seen = {}
-        new = self._encode_new([c for c in set(chain.from_iterable(cuts)) if c not in self.seen])
-        long = {c: ids for c, ids in new.items() if len(c) > CACHED_BYTES}
+            self.old, self.seen = self.seen, {}
+        missing = [c for c in set(chain.from_iterable(cuts)) if c not in self.seen]
+        new = {c: ids for c in missing if (ids := self.old.get(c)) is not None}
+        new |= self._encode_new([c for c in missing if c not in new])
+        long = {c: ids for c, ids in new.items() if len(c) > CACHED_CHARACTERS}
         self.seen.update((c, ids) for c, ids in new.items() if c not in long)
         get = (lambda c: self.seen.get(c) or long[c]) if long else self.seen.__getitem__
         return [list(chain.from_iterable(map(get, c))) for c in cuts]

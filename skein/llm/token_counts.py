@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from skein.llm.bpe import byte_characters
 from skein.llm.common import for_python, texts
 
-#: Entries of a task's dictionary of cuts, and characters of a cut that may enter it.
-CACHE, CACHED_CHARACTERS = 100_000, 64
+#: Entries of a worker's dictionary of cuts, and characters of a cut that may enter it. A full dictionary becomes the old
+#: one, from which cuts that occur again are taken over, so frequent cuts stay.
+CACHE, CACHED_CHARACTERS = 200_000, 64
 #: The contractions that the pattern cuts off whole.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -79,6 +80,7 @@ class Counter:
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.agree: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def _agrees(self, a: int, b: int) -> bool:
         """Whether BPE leaves the bytes of a and b as these two tokens: no merge across their border comes before the
@@ -116,24 +118,26 @@ class Counter:
         return counts
 
     def _total(self, cut: str) -> int:
-        n = self.prefixes(cut.encode())[-1]
+        n = self.old.get(cut)
+        if n is None:
+            n = self.prefixes(cut.encode())[-1]
         if len(cut) <= CACHED_CHARACTERS:
             if len(self.totals) > CACHE:
-                self.totals.clear()
-            if len(self.agree) > 2 * CACHE:
+                self.old, self.totals = self.totals, {}
+            if len(self.agree) > 4 * CACHE:
                 self.agree.clear()
             self.totals[cut] = n
         return n
 
     def count(self, text: str) -> int:
         """The tokens of a whole text."""
-        total, get = 0, self.totals.get
+        total = 0
         for i, piece in enumerate(self.special.split(text) if self.special else [text]):
             if i % 2:
                 total += 1
             else:
                 for c in self.cut(piece):
-                    n = get(c)
+                    n = self.totals.get(c)
                     total += self._total(c) if n is None else n
         return total
 
