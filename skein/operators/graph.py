@@ -215,9 +215,9 @@ def happens_before(flow: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = stored(pairs.select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left"), "asked")
     wanted = asked.where("_a is not null and _b is not null").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
     some = reaches(steps, wanted)
-    # blocks that an entry reaches without passing a's block
+    # blocks that an entry reaches without passing a's block; inside one block the places decide
     starts = entry_points(blocks.select(F.col("block").alias("id")).distinct(), steps)
-    seeds = wanted.select(F.col("a").alias("root")).distinct().crossJoin(F.broadcast(starts)).where("root <> id")
+    seeds = wanted.where("a <> b").select(F.col("a").alias("root")).distinct().crossJoin(F.broadcast(starts)).where("root <> id")
     around = _avoiding(steps, seeds).select(F.col("root").alias("a"), F.col("id").alias("b"), F.lit(True).alias("around"))
     known = some.join(around.distinct(), ["a", "b"], "left").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "reached", "around")
     out = asked.join(known, ["_a", "_b"], "left")

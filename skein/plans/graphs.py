@@ -239,9 +239,9 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     return events.select(F.col("event_type").alias("src"), after.alias("dst")).where("dst is not null").distinct().withColumn("types", F.lit(G.CALLS))
 
 
-def flow(spark: SparkSession, d: str, users: int = 40) -> DataFrame:
-    """Each event of the first users leads to the user's next one."""
-    events = table(spark, d, "events").where(F.col("user_id") < users)
+def flow(spark: SparkSession, d: str) -> DataFrame:
+    """Each event of a user leads to the user's next one."""
+    events = table(spark, d, "events")
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return events.select(_id("e", "event_id").alias("src"), after.alias("n")).where("n is not null").select("src", _id("e", "n").alias("dst"))
 
@@ -291,7 +291,7 @@ def exceptions(spark: SparkSession, d: str) -> DataFrame:
 )
 def happens_before(spark: SparkSession, d: str) -> DataFrame:
     """A user's first view always comes before the last event: flows do not branch."""
-    e = table(spark, d, "events").where("user_id < 40").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    e = table(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     ends = e.groupBy("user_id").agg(F.min_by(_id("e", "event_id"), F.when(F.col("event_type") == "view", F.col("i"))).alias("a"), F.max_by(_id("e", "event_id"), "i").alias("b"), F.max(F.col("event_type") == "view").alias("some"))
     return G.happens_before(flow(spark, d), ends.where("some and a <> b").select("a", "b"))
 
