@@ -23,6 +23,20 @@ def flows(spark, tmp_path_factory):
     return d, {u: [r for r in rows if r[2] == u] for u in {r[2] for r in rows}}
 
 
+COLUMNS = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_discount l_tax l_returnflag l_linestatus".split()
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Lines of orders and parts with small and large numbers: the folder, and the rows as dicts."""
+    d = tmp_path_factory.mktemp("lines")
+    kinds = [("R", "O", 1), ("N", "O", 1), ("R", "F", 1), ("R", "O", 2), ("N", "F", 2)]
+    rows = [(3_999 + 1_000 * k, p, n, n, 3.0 * n, 0.01 * k, 0.02 * n, flag, status) for k, p in enumerate((1, 299, 300, 5_000, 70_000)) for flag, status, n in kinds[k % 2 * 2 :]]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/lineitem.parquet")
+    return d, [dict(zip(COLUMNS, r, strict=True)) for r in rows]
+
+
 def test_event_flows_of_every_user(spark, flows):
     d, of = flows
     chains = [[f"e:{r[0]}" for r in rows] for rows in of.values() if len(rows) > 1]
@@ -30,3 +44,12 @@ def test_event_flows_of_every_user(spark, flows):
     assert run(spark, "exit_points", d) == {(c[-1],) for c in chains}
     first = {u: next(i for i, r in enumerate(rows) if r[3] == "view") for u, rows in of.items()}
     assert run(spark, "happens_before", d) == {(f"e:{rows[first[u]][0]}", f"e:{rows[-1][0]}", True) for u, rows in of.items() if first[u] < len(rows) - 1}
+
+
+def test_survivors_of_every_part(spark, lines):
+    d, rows = lines
+    kinds = lambda flag, part=None: {(r["l_linestatus"], r["l_linenumber"]) for r in rows if r["l_returnflag"] == flag and part in (None, r["l_partkey"])}
+    pairs = {(r["l_returnflag"], r["l_partkey"]) for r in rows}
+    want = {(flag, part) for flag, part in pairs if kinds(flag, part) == kinds(flag)}
+    assert any(part >= 300 for _, part in want)
+    assert run(spark, "survivor_intersect", d) == want
