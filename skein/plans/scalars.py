@@ -21,7 +21,7 @@ _R = lambda x: F.round(x, 6)
 def scalar_math_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     q, t, c, n = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount"), F.col("l_linenumber")
     b = S.BINARY
-    return table(spark, d, "lineitem").where("l_orderkey < 4000").select(
+    return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", _R(b["+"](q, t)).alias("add"), _R(b["-"](q, t)).alias("sub"), _R(b["*"](q, c)).alias("mul"), _R(b["/"](q, c)).alias("div"),
         _R(b["^"](t, F.lit(2))).alias("pow"), b["%%"](-n, F.lit(3)).alias("modulo"), b["%/%"](-n, F.lit(3)).alias("whole"),
     )
@@ -61,8 +61,7 @@ def scalar_math_trigonometry(spark: SparkSession, d: str) -> DataFrame:
     q, t, u = F.col("l_quantity"), F.col("l_tax"), S.UNARY
     names = {"s": ("sin", q), "c": ("cos", q), "t": ("tan", t), "a_s": ("asin", t), "a_c": ("acos", t), "a_t": ("atan", q), "sh": ("sinh", t), "ch": ("cosh", t),
              "th": ("tanh", t), "a_sh": ("asinh", q), "a_ch": ("acosh", q), "a_th": ("atanh", t), "outside": ("asin", q)}
-    rows = table(spark, d, "lineitem").where("l_orderkey < 4000")
-    return rows.select("l_orderkey", "l_linenumber", _R(S.BINARY["atan2"](q, t)).alias("a_2"), *[_R(u[f](x)).alias(n) for n, (f, x) in names.items()])
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _R(S.BINARY["atan2"](q, t)).alias("a_2"), *[_R(u[f](x)).alias(n) for n, (f, x) in names.items()])
 
 
 @query("SELECT p_partkey, CASE WHEN p_retailprice >= 1000 THEN round_even(p_retailprice / 10, 0) * 10 ELSE round_even(p_retailprice, 0) END AS three FROM part")

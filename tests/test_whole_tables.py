@@ -1,6 +1,7 @@
 """Queries take whole tables: rows with large ids count as well as those with small ones."""
 
 import datetime
+import math
 
 import pytest
 
@@ -53,3 +54,11 @@ def test_survivors_of_every_part(spark, lines):
     want = {(flag, part) for flag, part in pairs if kinds(flag, part) == kinds(flag)}
     assert any(part >= 300 for _, part in want)
     assert run(spark, "survivor_intersect", d) == want
+
+
+def test_scalars_of_every_line(spark, lines):
+    d, rows = lines
+    got = catalog.queries()["scalar_math_arithmetic"](spark, str(d)).select("l_orderkey", "l_linenumber", "add").collect()
+    assert sorted(map(tuple, got)) == sorted((r["l_orderkey"], r["l_linenumber"], round(r["l_quantity"] + r["l_tax"], 6)) for r in rows)
+    got = catalog.queries()["scalar_math_trigonometry"](spark, str(d)).select("l_orderkey", "l_linenumber", "s").collect()
+    assert sorted(map(tuple, got)) == sorted((r["l_orderkey"], r["l_linenumber"], round(math.sin(r["l_quantity"]), 6)) for r in rows)
