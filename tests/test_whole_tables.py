@@ -62,3 +62,11 @@ def test_scalars_of_every_line(spark, lines):
     assert sorted(map(tuple, got)) == sorted((r["l_orderkey"], r["l_linenumber"], round(r["l_quantity"] + r["l_tax"], 6)) for r in rows)
     got = catalog.queries()["scalar_math_trigonometry"](spark, str(d)).select("l_orderkey", "l_linenumber", "s").collect()
     assert sorted(map(tuple, got)) == sorted((r["l_orderkey"], r["l_linenumber"], round(math.sin(r["l_quantity"]), 6)) for r in rows)
+
+
+def test_branches_of_every_part(spark, lines):
+    d, rows = lines
+    whens = {}
+    for r in rows:
+        whens.setdefault(r["l_partkey"], {}).setdefault(r["l_suppkey"] % 4, set()).add(r["l_returnflag"] == "R")
+    assert run(spark, "lint_branch_coverage", d) == {(k, all(len(x) == 2 for x in ids.values())) for k, ids in whens.items()}
