@@ -10,7 +10,8 @@ digits and marks tell nothing; runs of separators count once. The cost of a byte
 only: a step looks up each distinct (order + 1)-gram of its texts once.
 
 Learning takes at most `per_language` documents of each language, those with the least hash of the id, whole texts: the
-model's size is bounded whatever the table's. Rare languages (fewer than `least` documents) are not learned.
+model's size is bounded by the number of languages. Every labelled language is learned, however rare, unless a caller
+asks for `least` documents.
 
 score is the winner's share when costs per byte are turned into odds: 1 / sum(2 ** -(cost - least cost) * sharpness).
 Texts that are null or hold no letter get `und` with score 0. Rejected (in a pipeline) are `und` texts and those that
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 from skein.llm.common import crc32_of_id, for_python, texts
 from skein.storage import stored
 
-ORDER, PER_LANGUAGE, LEAST = 4, 400, 5
+ORDER, PER_LANGUAGE, LEAST = 4, 400, 1
 #: How fast a difference of one bit a byte turns into odds, and bits a byte above which a text is no known language: bytes
 #: that no language has cost 20 and more, short texts with keys or numbers among words stay under 7.
 SHARPNESS, WORST = 8.0, 12.0
