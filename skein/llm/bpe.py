@@ -5,8 +5,10 @@ piece's id is its rank. A piece is the token with each byte replaced by a printa
 rank, and the normaliser is the identity; merging the best-scored pair first is then merging the lowest rank first.
 Texts are cut by the vocabulary's pattern, each cut's bytes are mapped and encoded; ids are decoded by the inverse map.
 
-The vocabulary is read once on the driver and goes to the tasks with the function: its size is fixed. Cuts that were
-seen before come from a dictionary of bounded size.
+The vocabulary is read once on the driver and goes to the tasks with the function: its size is fixed. All cuts of an
+Arrow batch are made one array, of which only the distinct ones are encoded; ids, their decimal text and the decoded
+bytes are gathered from tables, so nothing is done in Python for each id and no worker keeps a dictionary of cuts. A text
+over LONG characters goes through in runs of RUN cuts.
 
 Defined cases: a null text is the empty text, which has no ids; special strings in texts are ordinary text; repeated
 rows and null ids are kept as they come; columns but doc_id and text are ignored.
@@ -17,18 +19,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import for_python, texts
 
-#: Entries of a worker's dictionary of cuts, and characters of a cut that may enter it. A full dictionary becomes the old
-#: one, from which cuts that occur again are taken over, so frequent cuts stay.
-CACHE, CACHED_CHARACTERS = 60_000, 64
+#: Bytes of texts whose cuts are made distinct together; characters of a text that is taken in runs, and cuts of a run.
+STEP, LONG, RUN = 1 << 22, 1 << 22, 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -86,43 +88,66 @@ class Codec:
         import regex
         from sentencepiece import SentencePieceProcessor
 
-        self.tokens = tokens
-        self.cut = regex.compile(pattern).findall
-        self.own = {t: i for i, t in enumerate(tokens)}
+        self.pattern = regex.compile(pattern)
         self.model = SentencePieceProcessor(model_proto=model_bytes(tokens))
-        char = byte_characters()
-        self.mapped = {i: c for i, c in enumerate(char)}
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.text_of = [str(i) for i in range(len(tokens))]
-
-    def _encode_new(self, cuts: list[str]) -> dict[str, tuple[int, ...]]:
-        raw = [c.encode() for c in cuts]
-        out, rest = {}, []
-        for c, b in zip(cuts, raw, strict=True):
-            if (i := self.own.get(b)) is not None:
-                out[c] = (i,)
-            else:
-                rest.append((c, b.decode("latin-1").translate(self.mapped)))
-        for (c, _), ids in zip(rest, self.model.encode([m for _, m in rest], num_threads=1), strict=True):
-            out[c] = tuple(ids)
-        return out
-
-    def encode(self, rows: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        cuts = [self.cut(t) for t in rows]
-        if len(self.seen) > CACHE:
-            self.old, self.seen = self.seen, {}
-        missing = [c for c in set(chain.from_iterable(cuts)) if c not in self.seen]
-        new = {c: ids for c in missing if (ids := self.old.get(c)) is not None}
-        new |= self._encode_new([c for c in missing if c not in new])
-        long = {c: ids for c, ids in new.items() if len(c) > CACHED_CHARACTERS}
-        self.seen.update((c, ids) for c, ids in new.items() if c not in long)
-        get = (lambda c: self.seen.get(c) or long[c]) if long else self.seen.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in cuts]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        self.characters = pa.array(byte_characters())
+        self.tokens = pa.array(tokens, pa.binary())
+        self.names = pa.array([f"{i}," for i in range(len(tokens))])
+        # a cut that is a token is that token, also where no merges lead to it
+        ids, bounds = self._merged(self.tokens)
+        whole = (np.diff(bounds) == 1) & (ids[np.minimum(bounds[:-1], len(ids) - 1)] == np.arange(len(tokens)))
+        self.unmerged = {tokens[i]: i for i in np.flatnonzero(~whole)}
+
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that merging makes of each of the words' bytes, one after the other, and where each word's begin."""
+        if not len(words):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        raw = words.buffers()
+        at = np.frombuffer(raw[1], np.int32, len(words) + 1)
+        data = np.frombuffer(raw[2], np.uint8)[: at[-1]] if raw[2] is not None else np.zeros(0, np.uint8)
+        mapped = self.characters.take(pa.array(data))
+        ends = np.frombuffer(mapped.buffers()[1], np.int32)
+        mapped = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(ends[at].copy()), mapped.buffers()[2]])
+        ids = self.model.encode(mapped.to_pylist(), num_threads=1)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(bounds[-1])), bounds
+
+    def encode(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows of cuts, one after the other, and where each row's begin."""
+        coded = pa.array(list(chain.from_iterable(rows)), pa.string()).dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        ids, bounds = self._merged(words)
+        size, first = np.diff(bounds), bounds[:-1].copy()
+        if self.unmerged:
+            known = pc.index_in(words.cast(pa.binary()), pa.array(list(self.unmerged), pa.binary())).to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(~np.isnan(known))
+            first[own], size[own] = len(ids) + known[own].astype(np.int64), 1
+            ids = np.concatenate([ids, np.fromiter(self.unmerged.values(), np.int32)])
+        many = size[which]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        ids = ids[np.repeat(first[which] - ends[:-1], many) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))])]
+
+    def encode_texts(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode([self.pattern.findall(x) for x in rows])
+
+    def runs(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a long text, a run of cuts at a time."""
+        cuts = self.pattern.finditer(text)
+        while run := [m.group() for m in islice(cuts, RUN)]:
+            yield self.encode([run])[0]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+        """The bytes of each row of ids."""
+        return _joined(self.tokens, ids, bounds)
+
+
+def _joined(table: pa.Array, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+    """The entries of a table that each row of ids names, joined."""
+    found = table.take(pa.array(ids))
+    at = np.frombuffer(found.buffers()[1], np.int32)[bounds].tolist() if len(ids) else [0] * len(bounds)
+    data = memoryview(found.buffers()[2] or b"")
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -137,16 +162,34 @@ def codec(tokens: list[bytes], pattern: str) -> Codec:
     return _codecs[key]
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """doc_ids and texts of rows that go through together: many short ones, or one long one alone."""
+    for batch in batches:
+        for t in texts(batch, step=STEP):
+            rows = [x or "" for x in t.rows.column(1).to_pylist()]
+            ids, at = t.rows.column(0), 0
+            for i in [*(i for i, x in enumerate(rows) if len(x) > LONG), len(rows)]:
+                if i > at:
+                    yield ids.slice(at, i - at), rows[at:i]
+                if i < len(rows):
+                    yield ids.slice(i, 1), rows[i : i + 1]
+                at = i + 1
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
     tokens = read_ranks(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokens, pattern)
-        for batch in batches:
-            for t in texts(batch):
-                ids = own.encode([x or "" for x in t.rows.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([t.rows.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for doc_ids, rows in _texts(batches):
+            if len(rows[0]) > LONG:
+                ids = np.concatenate(list(own.runs(rows[0])))
+                bounds = np.array([0, len(ids)])
+            else:
+                ids, bounds = own.encode_texts(rows)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([doc_ids, lists], ["doc_id", "ids"])
 
     return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -156,15 +199,36 @@ def decoded(rows: DataFrame, vocabulary: str) -> DataFrame:
     tokens = read_ranks(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(tokens, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = [None if x is None else b"".join(map(tokens.__getitem__, x)) for x in part.column(1).to_pylist()]
+                lists = part.column(1)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                joined = _joined(table, lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
+                out = [x.tobytes() if known else None for x, known in zip(joined, lists.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     return for_python(rows).select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
+def _digests(own: Codec, rows: list[str]) -> tuple[list[int], list[str], list[str]]:
+    """Counts, digests of the ids as decimal text, and digests of the bytes that the ids decode to."""
+    if len(rows[0]) > LONG:
+        count, names, back, comma = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for ids in own.runs(rows[0]):
+            bounds = np.array([0, len(ids)])
+            count += len(ids)
+            names.update(comma)
+            names.update(_joined(own.names, ids, bounds)[0][:-1])
+            back.update(own.decode(ids, bounds)[0])
+            comma = b","
+        return [count], [names.hexdigest()], [back.hexdigest()]
+    ids, bounds = own.encode_texts(rows)
+    names = [hashlib.sha256(x[:-1]).hexdigest() for x in _joined(own.names, ids, bounds)]
+    return np.diff(bounds).tolist(), names, [hashlib.sha256(x).hexdigest() for x in own.decode(ids, bounds)]
+
+
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes every text, decodes the ids, and keeps digests of both, so
     that neither ids nor decoded texts leave the task."""
@@ -172,16 +236,10 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokens, pattern)
-        name = own.text_of.__getitem__
-        for batch in batches:
-            for t in texts(batch):
-                n, one, two = [], [], []
-                for ids in own.encode([x or "" for x in t.rows.column(1).to_pylist()]):
-                    n.append(len(ids))
-                    one.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
-                    two.append(hashlib.sha256(own.decode(ids)).hexdigest())
-                columns = [t.rows.column(0), pa.array(n, pa.int64()), pa.array(one), pa.array(two)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for doc_ids, rows in _texts(batches):
+            n, one, two = _digests(own, rows)
+            columns = [doc_ids, pa.array(n, pa.int64()), pa.array(one), pa.array(two)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return for_python(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

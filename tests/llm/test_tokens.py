@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -29,9 +30,10 @@ def count(text):
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(PIECES, st.text(max_size=20)))
 def test_ids_match_the_library(text):
-    ids = CODEC.encode([text])[0]
-    assert ids == LIBRARY.encode_ordinary(text)
-    assert CODEC.decode(ids) == text.encode()
+    rows = [text, "", text + text]
+    ids, bounds = CODEC.encode_texts(rows)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [LIBRARY.encode_ordinary(x) for x in rows]
+    assert [bytes(x) for x in CODEC.decode(ids, bounds)] == [x.encode() for x in rows]
 
 
 @settings(max_examples=200, deadline=None)
@@ -43,7 +45,7 @@ def test_every_prefix_counts_right(text):
 
 @pytest.mark.parametrize("text", ["a" * 5000, " " * 4000, "ab" * 3000, "\n" * 3000, "日" * 2000])
 def test_long_runs(text):
-    assert CODEC.encode([text])[0] == LIBRARY.encode_ordinary(text)
+    assert CODEC.encode_texts([text])[0].tolist() == LIBRARY.encode_ordinary(text)
     assert COUNTER.count(text) == count(text)
 
 
@@ -58,6 +60,26 @@ def test_digests(spark, odd, none):
     assert bpe.digests(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_long_texts_go_through_in_runs(monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 10)
+    monkeypatch.setattr(bpe, "RUN", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["short", "a longer text, with more cuts than one run", None, "x" * 50])], ["doc_id", "text"])
+    found = []
+    for _, rows in bpe._texts(iter([batch])):
+        found += zip(*bpe._digests(CODEC, rows), strict=True)
+    want = [LIBRARY.encode_ordinary(x or "") for x in batch.column(1).to_pylist()]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert found == [(len(i), sha(",".join(map(str, i)).encode()), sha((x or "").encode())) for i, x in zip(want, batch.column(1).to_pylist(), strict=True)]
+
+
+def test_a_token_that_no_merges_reach():
+    tokens = [bytes([b]) for b in range(256)] + [b"abc"]
+    own = bpe.Codec(tokens, P.PATTERN)
+    ids, bounds = own.encode_texts(["abc abc abcd", "abc"])
+    library = tiktoken.Encoding("few", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [library.encode_ordinary(x) for x in ("abc abc abcd", "abc")]
+
+
 def test_encode_and_decode_frames(odd):
     texts = {x.doc_id: x.text or "" for x in odd.where("doc_id is not null").collect()}
     out = bpe.decoded(bpe.encoded(odd.where("doc_id is not null"), RANKS, P.PATTERN), RANKS).collect()
