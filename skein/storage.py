@@ -29,11 +29,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: lineage ends here, and no executor's loss costs it."""
     path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
     _paths.append(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._skein_path = path
     return back
