@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from skein.llm import topk
@@ -57,3 +58,17 @@ def test_several_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert run(spark, [], [0]) == []
+
+
+def test_thresholds_pass_over_groups():
+    """On clustered vectors phases 2 and 3 look at few of the pairs, and find what all pairs give."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 300
+    v = np.floor(np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 16)) * 20).astype(np.int64)
+    ids, block = np.arange(2000), topk.asked(list(range(0, 2000, 50)), v[::50].tolist(), 4)
+    query, _, score = topk.heads(block, ids, v, 5)
+    least = np.array([score[query == q].min() for q in block.ids], float)
+    (query, vec, score), seen = topk.resolved(block, ids, v, least, 5)
+    assert seen < 0.2 * 2000 * 40
+    want = [(q, i, s) for q in block.ids for s, i in sorted(((int(v[q] @ v[i]), -i) for i in ids if i != q), reverse=True)[:5]]
+    assert list(zip(query, vec, score, strict=True)) == [(q, -i, s) for q, i, s in want]
