@@ -101,7 +101,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts.counted(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
+    table = token_counts.stored_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_counts.counted(table, limit=512)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

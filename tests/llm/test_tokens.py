@@ -1,6 +1,8 @@
 """BPE and token counts against the libraries."""
 
 import hashlib
+import json
+import time
 
 import public_tokenizers as P
 import pyarrow as pa
@@ -39,14 +41,32 @@ def test_ids_match_the_library(text):
 @settings(max_examples=200, deadline=None)
 @given(st.one_of(PIECES, st.text(max_size=12)))
 def test_every_prefix_counts_right(text):
-    assert COUNTER.all_prefixes(text) == [count(text[:i]) for i in range(len(text) + 1)]
-    assert COUNTER.count(text) == count(text)
+    rows = [text, "", text + " end"]
+    want = [[count(x[:i]) for i in range(len(x) + 1)] for x in rows]
+    assert [COUNTER.all_prefixes(x) for x in rows] == want
+    place, counts = token_counts._tables(COUNTER, rows)
+    assert place == [(0, 0, True), (1, 0, True), (2, 0, True)] and [x.tolist() for x in counts] == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(PIECES, st.text(max_size=12)), st.integers(1, 6))
+def test_slices_count_on(text, size):
+    before, token_counts.SLICE = token_counts.SLICE, size
+    try:
+        text = f"so {text} to say {text}"
+        place, counts = token_counts._tables(COUNTER, [text])
+        assert [p[2] for p in place] == [False] * (len(place) - 1) + [True]
+        for (_, at, _), own in zip(place, counts, strict=True):
+            assert own.tolist() == [count(text[: at + i]) for i in range(len(own))]
+        assert len(place) > 1 and place[-1][1] + len(counts[-1]) - 1 == len(text)
+    finally:
+        token_counts.SLICE = before
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, " " * 4000, "ab" * 3000, "\n" * 3000, "日" * 2000])
 def test_long_runs(text):
     assert CODEC.encode_texts([text])[0].tolist() == LIBRARY.encode_ordinary(text)
-    assert COUNTER.count(text) == count(text)
+    assert token_counts._tables(COUNTER, [text])[1][0][-1] == count(text)
 
 
 def test_digests(spark, odd, none):
@@ -89,14 +109,28 @@ def test_encode_and_decode_frames(odd):
 def test_counts(spark, odd, none):
     for docs in (documents(spark, "/root/testdata/sf0.001"), odd):
         want = sorted((str(x.doc_id), len((x.text or "").encode()), n := count(x.text or ""), n > 512) for x in docs.select("doc_id", "text").collect())
-        assert sorted((str(x.doc_id), *x[1:]) for x in token_counts.counted(docs, VOCABULARY, P.PATTERN).collect()) == want
-    assert token_counts.counted(none, VOCABULARY, P.PATTERN).count() == 0
+        assert sorted((str(x.doc_id), *x[1:]) for x in token_counts.counted(token_counts.stored_counts(docs, VOCABULARY, P.PATTERN)).collect()) == want
+    assert token_counts.counted(token_counts.stored_counts(none, VOCABULARY, P.PATTERN)).count() == 0
 
 
 def test_budgets(odd):
-    rows = token_counts.prefix_counts(odd.where("doc_id in (1, 4, 10)"), VOCABULARY, P.PATTERN)
+    table = token_counts.stored_counts(odd.where("doc_id in (1, 4, 10)"), VOCABULARY, P.PATTERN)
     text = {x.doc_id: x.text for x in odd.collect()}
     for budget in (0, 3, 1000):
-        for x in rows.select("doc_id", token_counts.fitting_prefix(rows.counts, budget).alias("n")).collect():
+        for x in token_counts.fitting(table, budget).collect():
             fits = [i for i in range(len(text[x.doc_id]) + 1) if count(text[x.doc_id][:i]) <= budget]
-            assert x.n == max(fits)
+            assert x.n_points == max(fits)
+
+
+def test_one_long_cut_takes_linear_time():
+    start = time.process_time()
+    assert len(COUNTER.prefixes(b"ab" * 50_000)) == 100_001
+    assert time.process_time() - start < 4
+
+
+def test_an_added_token_that_depends_on_its_neighbours_is_refused(tmp_path):
+    data = json.load(open(VOCABULARY, encoding="utf-8"))
+    data["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "v.json").write_text(json.dumps(data))
+    with pytest.raises(ValueError):
+        token_counts.read_vocabulary(str(tmp_path / "v.json"))
