@@ -9,9 +9,9 @@ Bytes are read through a fixed table that makes ASCII letters lower case and all
 digits and marks tell nothing; runs of separators count once. The cost of a byte depends on the order + 1 last bytes
 only: a step looks up each distinct (order + 1)-gram of its texts once.
 
-Learning takes at most `per_language` documents of each language, those with the least hash of the id, whole texts: the
-model's size is bounded by the number of languages. Every labelled language is learned, however rare, unless a caller
-asks for `least` documents.
+Learning takes at most `per_language` documents of each language, those with the least hash of the id (rows that share an
+id all teach), whole texts, whose grams are counted in the executors: the model's size is bounded by the number of
+languages. Every labelled language is learned, however rare.
 
 score is the winner's share when costs per byte are turned into odds: 1 / sum(2 ** -(cost - least cost) * sharpness).
 Texts that are null or hold no letter get `und` with score 0. Rejected (in a pipeline) are `und` texts and those that
@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.common import crc32_of_id, for_python, texts
+from skein.llm.common import STEP_BYTES, crc32_of_id, for_python, texts
 from skein.storage import stored
 
-ORDER, PER_LANGUAGE, LEAST = 4, 400, 1
+ORDER, PER_LANGUAGE = 4, 400
 #: How fast a difference of one bit a byte turns into odds, and bits a byte above which a text is no known language: bytes
 #: that no language has cost 20 and more, short texts with keys or numbers among words stay under 7.
 SHARPNESS, WORST = 8.0, 12.0
@@ -98,23 +98,25 @@ def _mask(length: int) -> np.uint64:
     return np.uint64((1 << (8 * length)) - 1)
 
 
-def fit(samples: dict[str, list[bytes]], order: int = ORDER) -> Model:
-    """The frozen counts of each language's texts."""
-    languages, grams, escapes = sorted(samples), [], []
+def count(buf: np.ndarray, bounds: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (order + 1)-grams of texts and how often each occurs."""
+    code, _ = _codes(*_symbols(buf, bounds), order)
+    return np.unique(code, return_counts=True)
+
+
+def fit(counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
+    """The frozen counts of each language, from its (order + 1)-grams and their counts: a shorter gram occurs as often as
+    all that end in it."""
+    languages, grams, escapes = sorted(counted), [], []
     for name in languages:
-        buf = np.frombuffer(b"".join(samples[name]), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in samples[name]])]).astype(np.int64)
-        code, _ = _codes(*_symbols(buf, bounds), order)
+        code, times = counted[name]
         by_length, by_context = [], []
         for length in range(1, order + 2):
-            gram, count = np.unique(code & _mask(length), return_counts=True)
+            gram, which = np.unique(code & _mask(length), return_inverse=True)
+            n = np.bincount(which, times)
             context, start = np.unique(gram >> np.uint64(8), return_inverse=True)
-            order_of = np.argsort(start, kind="stable")
-            gram, count, start = gram[order_of], count[order_of], start[order_of]
-            total, distinct = np.bincount(start, count), np.bincount(start)
-            bits = -np.log2(count / (total + distinct)[start])
-            by_gram = np.argsort(gram)
-            by_length.append((gram[by_gram], bits[by_gram]))
+            total, distinct = np.bincount(start, n), np.bincount(start)
+            by_length.append((gram, -np.log2(n / (total + distinct)[start])))
             by_context.append((context, -np.log2(distinct / (total + distinct))))
         grams.append(by_length)
         escapes.append(by_context)
@@ -147,37 +149,58 @@ def gram_costs(model: Model, grams: np.ndarray) -> np.ndarray:
 def costs(model: Model, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each text under each language [text, language], and the bytes that were coded."""
     code, bounds = _codes(*_symbols(buf, bounds), model.order)
-    distinct, which = np.unique(code, return_inverse=True)
-    by_gram = gram_costs(model, distinct)
-    sums = np.zeros((len(model.languages), len(code) + 1))
-    for k in range(len(model.languages)):
-        np.cumsum(by_gram[k][which], out=sums[k, 1:])
-    return (sums[:, bounds[1:]] - sums[:, bounds[:-1]]).T, np.diff(bounds)
+    n = len(bounds) - 1
+    out = np.zeros((n, len(model.languages)))
+    # a long text's bytes go through in steps
+    for at in range(0, len(code), STEP_BYTES):
+        part = code[at : at + STEP_BYTES]
+        distinct, which = np.unique(part, return_inverse=True)
+        by_gram = gram_costs(model, distinct)
+        row = np.searchsorted(bounds, np.arange(at, at + len(part)), "right") - 1
+        for k in range(len(model.languages)):
+            out[:, k] += np.bincount(row, by_gram[k][which], n)
+    return out, np.diff(bounds)
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, least: int = LEAST) -> dict[str, list[bytes]]:
-    """Texts to learn from: of each language at most per_language rows, those with the least hash of doc_id.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, gram and count of each batch of lang, text."""
+    for batch in batches:
+        for t in texts(batch):
+            langs, which = np.unique(np.array(t.rows.column(0).to_pylist(), object).astype(str), return_inverse=True)
+            for k, lang in enumerate(langs):
+                rows = np.flatnonzero(which == k)
+                raw = [t.bytes(i) for i in rows]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+                gram, n = count(np.frombuffer(b"".join(raw), np.uint8), bounds)
+                columns = [pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
 
-    No language is gathered in one task, however many rows it has.
+
+def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Counted grams to learn from, of each language at most per_language rows, those with the least hash of doc_id.
+
+    No language is gathered in one task, however many rows it has, and texts stay in the executors: the driver gets the
+    sums of distinct grams, of which a language has the fewer the longer its texts are.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("doc_id", F.col("lang").cast("string").alias("lang"))
     # of a large language only rows with a low hash go on: three times as many as wanted, so the least ones are among them
-    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least), "counts")
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "counts")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     low = rows.join(counts, "lang").where(place.cast("double") * F.col("n") < 3.0 * per_language * (1 << 40))
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = low.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    picked = docs.where(learn).select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
-    out: dict[str, list[bytes]] = {}
-    for x in picked.orderBy("lang", place, "doc_id", "text").toLocalIterator():
-        own = out.setdefault(x.lang, [])
-        if x.text and len(own) < per_language:
-            own.append(x.text.encode())
-    return out
+    lettered = docs.where(learn & has_letter(F.col("text")))
+    picked = lettered.select("doc_id", F.col("lang").cast("string").alias("lang"), "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    grams = for_python(picked).select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long")
+    sums = stored(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams").orderBy("lang", "gram").toArrow()
+    langs = sums.column("lang").combine_chunks().dictionary_encode()
+    gram, n = sums.column("gram").to_numpy().view(np.uint64), sums.column("n").to_numpy()
+    which = langs.indices.to_numpy()
+    return {name: (gram[which == k], n[which == k]) for k, name in enumerate(langs.dictionary.to_pylist())}
 
 
 def learned(doc_id: Column) -> Column:
