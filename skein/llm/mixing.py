@@ -13,8 +13,8 @@ fraction, as many as the source's target has room for, and for a few more that f
 of fixed size and an order within the last bin, so no source is ever sorted in one task.
 
 Defined cases: a null text has size 0 and is taken 0 times; null sources form one source, the last; an empty table
-gives an empty result; repeated rows are documents of their own, told apart by nothing, so equal rows may end on either
-side of the cut together. Columns but doc_id, text and source are ignored by mixed() and kept by expanded().
+gives an empty result; rows without doc_id are told apart by their texts; repeated rows are documents of their own, told
+apart by nothing, so equal rows end on the same side of the cut. Columns but doc_id, text and source are ignored by mixed() and kept by expanded().
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ FILLS = 5
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, size in words, mark (a hash of the text, which tells rows without doc_id apart)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def targets(of_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -90,9 +91,12 @@ def multipliers(counted: DataFrame, aims: DataFrame, most: int = 3, steps: int =
         after = stored(step.select("source", "target", "source_size", "scale", "high", "low", moved.alias("l"), off.alias("off")), "dual")
         discard(now)
         now = after
-        if (now.agg(F.max("off")).first()[0] or 0.0) <= near:
+        if (off := now.agg(F.max("off")).first()[0] or 0.0) <= near:
             break
-    return now.select("source", "scale", "l")
+    if off > 1e-6:
+        raise RuntimeError(f"the dual did not settle: a source is off its target by a share of {off}")
+    # sums of doubles depend on their order in the last digits; reruns have to agree
+    return now.select("source", "scale", F.round("l", 10).alias("l"))
 
 
 def _rate(most: int) -> Column:
@@ -106,7 +110,7 @@ def _rated(rows: DataFrame, known: DataFrame, most: int, seed: int) -> DataFrame
     """rows (doc_id, source, size and any others) with base, open and key: open rows may get one copy more than base,
     those with the least keys first; 0 < key < 1. known has one row for each source, s."""
     out = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", _rate(most)).withColumn("base", F.floor("rate"))
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
+    hashed = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.lit(1 << 40)) / float(1 << 40)
     return out.withColumn("key", (hashed - (F.col("rate") - F.col("base")) + 1) / 2).withColumn("open", F.col("base") < F.ceil("rate"))
 
 
@@ -185,12 +189,13 @@ def expanded(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
     """The mix itself: each row of docs as often as it is taken, with docs' own columns."""
     known = plan(stored(sizes(docs), "sized"), weights, most, seed)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = sizes_of(docs.select(row.alias("_row"))).select("doc_id", "source", "size", "_row")
+    rows = sizes_of(docs.select(row.alias("_row"))).select("doc_id", "source", "size", "mark", "_row")
     out = copies(rows, known, most, seed).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return out.select("_row.*")
 
 
 def sizes_of(rows: DataFrame) -> DataFrame:
-    """rows of one struct _row, with doc_id, source and size beside it."""
+    """rows of one struct _row, with the columns of sizes() beside it."""
     size = F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0)).cast("long")
-    return rows.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").cast("string").alias("source"), size.alias("size"))
+    source = F.col("_row.source").cast("string").alias("source")
+    return rows.select("_row", F.col("_row.doc_id").alias("doc_id"), source, size.alias("size"), F.xxhash64("_row.text").alias("mark"))

@@ -1,5 +1,6 @@
 """Mixing: targets by repeated sharing, and what the mix takes."""
 
+import math
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import mixing
 from skein.llm.common import documents
+from skein.storage import stored
 
 
 def words(text):
@@ -81,3 +83,48 @@ def test_empty_table(none):
 def test_plan_has_no_python(spark):
     plan = mixing.mixed(documents(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_copies_by_brute_force(spark):
+    """Rates from bisection, copies by sorting each source's keys and filling what is left."""
+    docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", "source")
+    sized = stored(mixing.sizes(docs), "sized")
+    known = mixing.plan(sized)
+    rows = {}
+    for x in mixing._rated(sized, known.drop("cut", "picks"), 3, 42).collect():
+        rows.setdefault(x.source, []).append(x)
+    got = {x.doc_id: x.copies for x in mixing.mixed(docs).collect()}
+    for own in rows.values():
+        scale, target = own[0].scale, own[0].target
+        rate = lambda l, size: min(3.0, math.exp(max(min(l * size / scale, 2), -700))) if size else 0.0  # noqa: B023, E731, E741
+        low, high = -700.0, 1 + math.log(3) * scale / min(x["size"] for x in own if x["size"])
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(rate(mid, x["size"]) * x["size"] for x in own) < target else (low, mid)
+        assert [x.rate for x in own] == pytest.approx([rate(high, x["size"]) for x in own], rel=1e-6, abs=1e-9)
+        copies = {x.doc_id: x.base for x in own}
+        short, beyond = target - sum(x.base * x["size"] for x in own), []
+        for x in sorted((x for x in own if x.open), key=lambda x: x.key):
+            if not beyond and x["size"] <= short:
+                copies[x.doc_id] += 1
+                short -= x["size"]
+            else:
+                beyond.append(x)
+        for i in range(mixing.FILLS):
+            far = short * 2 if i == mixing.FILLS - 1 else short
+            fits = [x for x in beyond if 0 < x["size"] <= far]
+            if fits:
+                best = max(fits, key=lambda x: (-abs(x["size"] - short), x.key, x["size"]))
+                beyond.remove(best)
+                copies[best.doc_id] += 1
+                short -= best["size"]
+        assert {x.doc_id: got[x.doc_id] for x in own} == copies
+
+
+def test_rows_without_id_are_taken_one_by_one(spark):
+    rows = [(None, f"text number {i} of some", "a") for i in range(300)] + [(i, "b " * 5, "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for x in mixing.mixed(docs).collect():
+        taken[x.source_size] = (taken.get(x.source_size, (0, 0))[0] + x.taken, x.target)
+    assert all(abs(n - target) <= 5 for n, target in taken.values())
