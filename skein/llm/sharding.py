@@ -13,7 +13,8 @@ on to single keys. Each pass is one aggregation over all nodes of a level; the d
 BINS * shards rows, whatever the table's size. Assigning rows is then a nested CASE; no row is moved for it.
 
 Slots number a shard's rows from 0 in the order of a hash bucket, then doc_id; counts of (shard, bucket) give each
-bucket's first slot, so a shard is never sorted in one task.
+bucket's first slot, so a shard is never sorted in one task. Rows without doc_id are dealt to buckets by where they were
+read, so many equal ones do not share a bucket; which of them gets which slot is open.
 
 Defined cases: a null text has size 1, crc32 0 and the dimensions of the empty text; null ids count and get slots;
 repeated rows get slots of their own; one text that outweighs a shard's target fills a shard alone or in part, since
@@ -22,14 +23,13 @@ copies stay together; an empty table gives an empty result; other columns are ig
 
 from __future__ import annotations
 
-from skein.storage import stored
-
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.storage import stored
 
 SCALE, HASHES, BINS = 1 << 16, 1 << 44, 4096
 #: Rows of a slot bucket that are aimed at, and buckets at least.
@@ -164,11 +164,13 @@ def _spans(rows: DataFrame) -> dict[int, tuple[list[int], int]]:
 
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row."""
-    rows = stored(points(docs), "points")
+    # rows without id are told apart by where they were read, which is stored with them
+    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)))
+    rows = stored(points(docs).withColumn("salt", salt), "points")
     tree = grown(rows, shards)
     n = rows.count()
     buckets = max(BUCKETS, -(-n // (BUCKET_ROWS * shards)))
-    placed = rows.select("doc_id", "size", "text_crc32", _assigned(tree).alias("shard"), F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int").alias("bucket"))
+    placed = rows.select("doc_id", "size", "text_crc32", _assigned(tree).alias("shard"), F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "salt"), F.lit(buckets)).cast("int").alias("bucket"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("first"))
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32"))
