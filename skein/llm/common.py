@@ -1,7 +1,8 @@
-"""What the operators share: small Arrow batches, and word hashing over Arrow text buffers."""
+"""What the operators share: small Arrow batches, and exact numbers and digests of words over Arrow text buffers."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +20,8 @@ STEP_BYTES = 1 << 19
 #: Bytes of an Arrow batch to a Python worker, where the session does not say otherwise. Texts are long, and JVM and
 #: worker both hold batches.
 BATCH_BYTES = "4m"
+#: Bytes of text whose words are told apart at once.
+WINDOW = 1 << 23
 
 
 def for_python(df: DataFrame) -> DataFrame:
@@ -78,27 +81,11 @@ def texts(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -
     pa.default_memory_pool().release_unused()
 
 
-_rng = np.random.default_rng(0x5EED)
-#: A random 64-bit value for each byte; A-Z count as a-z in the second table.
-_BYTE = _rng.integers(1, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _BASE_INV)):
-                row = np.full(max(n, STEP_BYTES + 1), base, np.uint64)
-                row[0] = 1
-                _powers[k] = np.multiply.accumulate(row)
-    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -137,18 +124,41 @@ def word_bounds(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, t.bounds)
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial in the bytes' random values."""
-    power, inverse = _power_tables(len(buf) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * power[: len(buf)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+def span_codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each of the spans, which follow one another without overlap, and the distinct byte strings that the
+    numbers stand for. Equal numbers mean equal bytes: nothing is hashed but in Arrow's own table, which compares bytes."""
+    if not len(start):
+        return np.zeros(0, np.int32), pa.array([], pa.binary())
+    low, high = int(start[0]), int(end[-1])
+    offsets = np.empty(2 * len(start) + 1, np.int32)
+    offsets[:-1:2] = start - low
+    offsets[1::2] = end - low
+    offsets[-1] = high - low
+    # every second item is what lies between two spans
+    spans = pa.Array.from_buffers(pa.binary(), 2 * len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(buf[low:high]))])
+    coded = spans.take(pa.array(np.arange(0, 2 * len(start), 2))).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first 64 bits of the BLAKE2b digest of each of the spans, which follow one another without overlap."""
+    codes, distinct = span_codes(buf, start, end)
+    digest = hashlib.blake2b
+    digests = b"".join([digest(x, digest_size=8).digest() for x in distinct.to_pylist()])
+    return np.frombuffer(digests, np.uint64)[codes]
 
 
 def words(t: Texts, lower: bool = False) -> Words:
+    """The words and their hashes; a long text is hashed in windows, so that only its words' numbers are held at once."""
     start, end, first = word_bounds(t)
-    return Words(start, end, span_hashes(t.buf, start, end, lower), first)
+    hashes = np.empty(len(start), np.uint64)
+    cuts = np.searchsorted(start, np.arange(0, len(t.buf), WINDOW))
+    for a, b in zip(cuts, [*cuts[1:], len(start)], strict=True):
+        if a < b:
+            low, high = int(start[a]), int(end[b - 1])
+            part = t.buf[low:high]
+            hashes[a:b] = span_hashes(LOWER[part] if lower else part, start[a:b] - low, end[a:b] - low)
+    return Words(start, end, hashes, first)
 
 
 def window_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

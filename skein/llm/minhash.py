@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     # the bucket's commonest component is joined with the others, never with itself
     tally = left.groupBy("key", "component").agg(F.count("*").alias("rows"))
     mixed = tally.groupBy("key").agg(F.max(F.struct("rows", "component")).alias("x"), F.count("*").alias("kinds")).where("kinds > 1")
+    # stored, so that the join deals the members out anew and a hot bucket's rows can be split
+    mixed = stored(mixed, "mixed")
     marks = reps.select(F.col("rep").alias("id"), *[F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)])
     left = left.join(mixed.select("key", F.col("x.component").alias("main")), "key").select("key", "id", "n", "lead", "component", "main")
     left = stored(left.join(marks, "id"), "left")
@@ -268,12 +270,15 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     """
     found = stored(near_duplicates(docs, size, percent), "found").select("doc_id", "kept").where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
-    doubtful = stored(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")), "doubtful")
-    class_of = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(CLASSES))
-    classes = F.broadcast(doubtful.select(F.pmod(F.xxhash64("_id"), F.lit(CLASSES)).alias("_class")).distinct())
-    sure = docs.join(classes, class_of == F.col("_class"), "left_anti")
-    rest = docs.join(classes, class_of == F.col("_class"), "left_semi")
-    rest = rest.join(doubtful, F.col("doc_id").cast("long") == F.col("_id"), "left").where(F.coalesce(F.col("_kept"), F.lit(True)))
-    first = Window.partitionBy("doc_id").orderBy("text")
-    rest = rest.withColumn("_row", F.row_number().over(first)).where((F.col("_row") == 1) | F.col("doc_id").isNull())
-    return sure.unionByName(rest.select(*docs.columns))
+    # a row goes through as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    doubtful = stored(ids.where("not kept or rows > 1").select(F.col("doc_id").alias("id"), "kept"), "doubtful")
+    class_of = F.pmod(F.xxhash64("id"), F.lit(CLASSES))
+    classes = F.broadcast(doubtful.select(class_of.alias("class")).distinct())
+    sure = rows.join(classes, class_of == F.col("class"), "left_anti")
+    rest = rows.join(classes, class_of == F.col("class"), "left_semi")
+    rest = rest.join(doubtful, "id", "left").where(F.coalesce("kept", F.lit(True)))
+    first = Window.partitionBy("id").orderBy("row.text")
+    # ids that are null are all their own: they do not gather in one task
+    none, rest = rest.where("id is null"), rest.where("id is not null").withColumn("at", F.row_number().over(first)).where("at = 1")
+    return sure.select("row.*").unionByName(none.select("row.*")).unionByName(rest.select("row.*"))

@@ -15,6 +15,7 @@ rows and null ids are scored as they come; labels, lang, source and doc_id are n
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Texts, crc32_of_id, for_python, span_hashes, texts
+from skein.llm.common import LOWER, Texts, crc32_of_id, for_python, span_codes, texts
 from skein.storage import stored
 
 ROWS, TERMS, CLASSES = 12_000, 3_000, 1 << 22
@@ -53,14 +54,17 @@ def terms(t: Texts) -> list[np.ndarray]:
     cut = edges[inside[edges] & inside[edges + 1]]
     if len(cut):
         start, end = np.sort(np.concatenate([start, np.unique(cut)])), np.sort(np.concatenate([end, np.unique(cut)]))
-    power = [span_hashes(t.buf, start, end, lower=True)]
-    starts = [start]
-    for n in BEGINNINGS:
-        long = end - start > n
-        power.append(span_hashes(t.buf, start[long], start[long] + n, lower=True) ^ np.uint64(n))
-        starts.append(start[long])
-    code = (np.concatenate(power) >> np.uint64(42)).astype(np.int64)
-    row = np.searchsorted(t.bounds, np.concatenate(starts), "right") - 1
+    # hashed are distinct words and their beginnings
+    which, distinct = span_codes(LOWER[t.buf], start, end)
+    spelled = distinct.to_pylist()
+    row = np.searchsorted(t.bounds, start, "right") - 1
+    code, rows = [], []
+    for n in (None, *BEGINNINGS):
+        known = np.array([zlib.crc32(x[:n]) if n is None or len(x) > n else -1 for x in spelled], np.int64)
+        found = known[which] if len(known) else np.zeros(0, np.int64)
+        code.append((found[found >= 0] ^ (0 if n is None else n * 0x9E3779)) & (CLASSES - 1))
+        rows.append(row[found >= 0])
+    code, row = np.concatenate(code), np.concatenate(rows)
     both = np.unique(row * CLASSES + code)
     first = np.searchsorted(both, np.arange(len(t.bounds)) * CLASSES)
     code = (both & (CLASSES - 1)).astype(np.int32)

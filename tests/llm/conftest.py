@@ -25,7 +25,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def odd(spark):
     """Documents with every odd case, and columns whose names the operators might use themselves."""
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    return docs.selectExpr("*", "'x' as score", "1 as size", "'k' as kept", "0 as a", "0 as id", "'r' as row", "2 as copies", "'d' as digest", "7 as key", "8 as label")
+    return docs.selectExpr("*", "'x' as score", "1 as size", "'k' as kept", "0 as a", "0 as id", "'r' as row", "2 as copies", "'d' as digest", "7 as key", "8 as label", "9 as _id", "9 as _kept", "9 as _row", "9 as _class", "9 as mark", "9 as salt", "9 as class")
 
 
 @pytest.fixture(scope="session")
@@ -36,3 +36,10 @@ def none(spark):
 @pytest.fixture(scope="session")
 def rows():
     return ROWS
+
+
+@pytest.fixture(scope="session")
+def twins():
+    """Two words whose bytes are the Thue-Morse sequence and its complement: sums over powers of an odd number agree on them."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

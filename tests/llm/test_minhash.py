@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import minhash
@@ -104,3 +105,21 @@ def test_bitmaps_bound_from_above():
     b = np.unique(np.concatenate([a[:150], rng.integers(0, 1 << 63, 50, np.int64).astype(np.uint64)]))
     x, y = (np.unpackbits(m.view(np.uint8)) for m in minhash.bitmaps([a, b]))
     assert int((x & ~y & 1).sum()) <= len(np.setdiff1d(a, b))
+
+
+def test_words_that_weak_hashes_confuse(spark, twins):
+    rows = [(1, twins[0]), (2, twins[1]), (3, f"{twins[0]} {twins[1]} {twins[0]} {twins[1]}"), (4, " ".join(twins))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(docs, 2, 80).collect()}
+    assert got == brute(rows, 2, 80)
+
+
+def test_long_texts_are_read_in_windows(spark, monkeypatch):
+    from skein.llm import common
+
+    rows = [(1, "a bb Ccc dd " * 40 + "end"), (2, "x" * 100 + " y"), (3, "")]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])
+    whole = [minhash.shingle_sets(t, 2) for t in common.texts(batch)]
+    monkeypatch.setattr(common, "WINDOW", 16)
+    parts = [minhash.shingle_sets(t, 2) for t in common.texts(batch)]
+    assert [[x.tolist() for x in s] for s in whole] == [[x.tolist() for x in s] for s in parts]

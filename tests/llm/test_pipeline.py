@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skein.llm import bpe
@@ -40,3 +41,26 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def through(spark, docs):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stored(stage(spark, docs, DIR), name)
+        assert after.columns == docs.columns
+        docs = after
+    return docs, corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+
+
+def test_odd_rows_go_through(spark, odd):
+    more = documents(spark, DIR).limit(300)
+    for c in odd.columns[len(more.columns) :]:
+        more = more.withColumn(c, F.lit(None).cast(odd.schema[c].dataType))
+    docs, out = through(spark, odd.unionByName(more.withColumn("doc_id", F.col("doc_id") + 100_000)))
+    got = out.collect()
+    assert len(got) == docs.count() and not {x.doc_id for x in got} & {3, 4, 5, 11}
+    assert all(x.text for x in docs.collect())
+
+
+def test_empty_table_goes_through(spark, none):
+    docs, out = through(spark, none)
+    assert docs.count() == 0 and out.count() == 0
