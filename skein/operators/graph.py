@@ -7,6 +7,8 @@ lost executor costs nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ NAMES = {
     "defined-by-on-call": DEFINED_BY_ON_CALL, "argument": ARGUMENT, "side-effect-on-call": SIDE_EFFECT,
     "non-standard-evaluation": NSE, "flow": FLOW, "control": CONTROL,
 }
+#: Tables of a fixpoint's findings that are read one by one before they are stored as one.
+COMPACT = 8
 #: Data edges that a backward walk follows; others need conditions of their own.
 FOLLOWED = READS | DEFINED_BY | ARGUMENT | CALLS | RETURNS
 
@@ -71,31 +75,35 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.id").agg(F.sum("e.o").alias("n_out"), F.sum("e.i").alias("n_in"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, backward: bool = False, within: DataFrame | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, backward: bool = False, within: DataFrame | None = None) -> DataFrame:
     """The ids that the seeds reach, and the fewest steps: (id, depth), seeds at depth 0. More columns of the seeds (a
-    root, say) are part of the state, so many searches run as one. `within`: ids that may be entered."""
+    root, say) are part of the state, so many searches run as one. `within`: ids that may be entered.
+
+    Goes on until nothing new is found, however long the ways are. Steps are stored once, so a round neither merges nor
+    scans the edges' sources again; what was found is stored round by round, and every COMPACT rounds as one table, so a
+    round reads few tables however many there were.
+    """
     state = seeds.columns
     extra = [c for c in state if c != "id"]
-    steps = (inverted(edges) if backward else edges).select("src", F.col("dst").alias("_to")).distinct()
+    steps = (inverted(edges) if backward else edges).select("src", F.col("dst").alias("_to")).where("src <> _to").distinct()
     if within is not None:
         steps = steps.join(within.select(F.col("id").alias("_to")).distinct(), "_to", "left_semi")
+    steps = stored(steps.select("src", "_to"), "steps")
     frontier = stored(seeds.distinct().withColumn("depth", F.lit(0)), "frontier")
-    parts = [frontier]
-    for depth in range(1, rounds + 1):
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
+    columns, parts, depth = frontier.columns, [frontier], 0
+    while True:
+        depth += 1
         found = frontier.join(steps, F.col("id") == F.col("src")).select(*extra, F.col("_to").alias("id")).distinct()
-        found = found.join(seen.select(*state), state, "left_anti").withColumn("depth", F.lit(depth))
-        frontier = stored(found.select(*parts[0].columns), "frontier")
+        found = found.join(reduce(DataFrame.unionByName, parts).select(*state), state, "left_anti").withColumn("depth", F.lit(depth))
+        frontier = stored(found.select(*columns), "frontier")
         if frontier.isEmpty():
-            discard(frontier)
-            break
+            discard(frontier, steps)
+            return reduce(DataFrame.unionByName, parts)
         parts.append(frontier)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if len(parts) > COMPACT:
+            whole = stored(reduce(DataFrame.unionByName, parts[:-1]), "visited")
+            discard(*parts[:-1])
+            parts = [whole, frontier]
 
 
 def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -122,7 +130,7 @@ def provenance_graph(edges: DataFrame, ids: DataFrame, mask: int = FOLLOWED) ->
     return induced(edges.where(includes(F.col("types"), mask)), provenance(edges, ids, mask))
 
 
-def static_slice(vertices: DataFrame, edges: DataFrame, criteria: DataFrame, forward: bool = False, rounds: int = 1000) -> DataFrame:
+def static_slice(vertices: DataFrame, edges: DataFrame, criteria: DataFrame, forward: bool = False) -> DataFrame:
     """The slice for the criteria (id): ids in it.
 
     Reads, definitions, arguments and calls are always followed and non-standard evaluation never. An edge that holds
@@ -135,26 +143,28 @@ def static_slice(vertices: DataFrame, edges: DataFrame, criteria: DataFrame, for
     if "cds" in vertices.columns and not forward:
         always = always.union(vertices.select(F.col("id").alias("src"), F.explode("cds").alias("dst")))
     twice = edges.where(includes(F.col("types"), DEFINES_ON_CALL | DEFINED_BY_ON_CALL) & ~includes(F.col("types"), FOLLOWED | SIDE_EFFECT)).select("src", "dst")
-    known = stored(closure(always, criteria.select("id"), rounds).select("id").distinct(), "slice")
+    always = stored(always.distinct(), "always")
+    known = stored(closure(always, criteria.select("id")).select("id").distinct(), "slice")
     if twice.isEmpty():
         return known
-    for _ in range(rounds):
+    twice = stored(twice.distinct(), "twice")
+    while True:
         asked = twice.join(known.withColumnRenamed("id", "src"), "src", "left_semi").groupBy("dst").agg(F.countDistinct("src").alias("n")).where("n >= 2")
         more = stored(asked.select(F.col("dst").alias("id")).join(known, "id", "left_anti"), "slice")
         if more.isEmpty():
-            break
-        known = stored(known.union(closure(always, more, rounds).select("id")).distinct(), "slice")
-    return known
+            return known
+        known = stored(known.union(closure(always, more).select("id")).distinct(), "slice")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): each id of the edges with the smallest id that it is connected with, whatever the directions.
 
-    Large-star and small-star steps in turn, until the edges stand still.
+    Large-star and small-star steps in turn, until the edges stand still, which takes about as many rounds as the
+    logarithm of the longest way.
     """
     now = stored(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v").distinct(), "edges")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -205,7 +215,8 @@ def happens_before(flow: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with `before`: TRUE if every way into b comes from a, NULL if some do, FALSE if none does.
 
     Chains without branches are one block, so rounds count branches, not vertices: a way through a block passes all of
-    its vertices in order.
+    its vertices in order. Whether there is a way around a is searched from b backward, not entering a, for all pairs at
+    once: there is one if the search comes to a block that nothing leads to.
     """
     blocks = stored(basic_blocks(flow), "blocks")
     steps = flow.select("src", "dst").join(blocks.select(F.col("id").alias("src"), F.col("block").alias("x"), F.col("place").alias("i")), "src")
@@ -215,34 +226,37 @@ def happens_before(flow: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = stored(pairs.select("a", "b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left"), "asked")
     wanted = asked.where("_a is not null and _b is not null").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
     some = reaches(steps, wanted)
-    # blocks that an entry reaches without passing a's block; inside one block the places decide
     starts = entry_points(blocks.select(F.col("block").alias("id")).distinct(), steps)
-    seeds = wanted.where("a <> b").select(F.col("a").alias("root")).distinct().crossJoin(F.broadcast(starts)).where("root <> id")
-    around = _avoiding(steps, seeds).select(F.col("root").alias("a"), F.col("id").alias("b"), F.lit(True).alias("around"))
-    known = some.join(around.distinct(), ["a", "b"], "left").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "reached", "around")
+    back = _avoiding(inverted(steps), wanted.where("a <> b").select("a", "b", F.col("b").alias("id")))
+    around = back.join(starts, "id", "left_semi").select("a", "b", F.lit(True).alias("around")).distinct()
+    known = some.join(around, ["a", "b"], "left").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "reached", "around")
     out = asked.join(known, ["_a", "_b"], "left")
     apart = F.when(~F.coalesce("reached", F.lit(False)), F.lit(False)).when(F.col("around").isNull(), F.lit(True))
     same = F.when(F.col("a_place") < F.col("b_place"), F.lit(True)).when(~F.coalesce("reached", F.lit(False)), F.lit(False))
     return out.select("a", "b", F.when(F.col("_a") == F.col("_b"), same).otherwise(apart).alias("before"))
 
 
-def _avoiding(steps: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
-    """What each root's seeds (root, id) reach without entering the root."""
-    seen = frontier = stored(seeds.distinct(), "avoid")
-    for _ in range(rounds):
-        found = frontier.join(steps, F.col("id") == F.col("src")).select("root", F.col("dst").alias("id")).where("root <> id").distinct()
-        frontier = stored(found.join(seen, ["root", "id"], "left_anti"), "avoid")
+def _avoiding(steps: DataFrame, seeds: DataFrame) -> DataFrame:
+    """What each of the seeds (a, b, id) reaches without entering a."""
+    steps = stored(steps.select("src", "dst").distinct(), "steps")
+    frontier = stored(seeds.distinct(), "avoid")
+    parts = [frontier]
+    while True:
+        found = frontier.join(steps, F.col("id") == F.col("src")).select("a", "b", F.col("dst").alias("id")).where("a <> id").distinct()
+        frontier = stored(found.join(reduce(DataFrame.unionByName, parts), ["a", "b", "id"], "left_anti"), "avoid")
         if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return seen
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(frontier)
+        if len(parts) > COMPACT:
+            parts = [stored(reduce(DataFrame.unionByName, parts[:-1]), "avoided"), frontier]
 
 
-def basic_blocks(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def basic_blocks(edges: DataFrame) -> DataFrame:
     """(id, block, place): vertices of a maximal chain (each link the only way out of one and into the next) share the
     head's id; place counts from the head. A closed ring has no head: its vertices are blocks of their own.
 
-    Heads come by pointer jumping: each round doubles how far a vertex looks back.
+    Heads come by pointer jumping: each round doubles how far a vertex looks back, until that is further than there are
+    vertices; only rings still move then.
     """
     step = edges.select("src", "dst").distinct()
     out_one = step.groupBy("src").agg(F.count("*").alias("n")).where("n = 1").select("src")
@@ -251,9 +265,9 @@ def basic_blocks(edges: DataFrame, rounds: int = 64) -> DataFrame:
     ids = step.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     now = ids.join(link.select(F.col("dst").alias("id"), F.col("src").alias("up")), "id", "left")
     now = stored(now.select("id", F.coalesce("up", "id").alias("up"), F.col("up").isNotNull().cast("int").alias("place")), "blocks")
-    for _ in range(rounds):
+    for _ in range(now.count().bit_length() + 1):
         up = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
-        moved = now.join(up, "up").select("id", F.col("next").alias("up"), (F.col("place") + F.col("more")).alias("place"), (F.col("next") != F.col("up")).alias("moved"))
+        moved = now.join(up, "up").select("id", F.col("next").alias("up"), F.least(F.col("place") + F.col("more"), F.lit(1 << 30)).alias("place"), (F.col("next") != F.col("up")).alias("moved"))
         now = stored(moved, "blocks")
         if now.where("moved").isEmpty():
             break

@@ -99,14 +99,14 @@ def dice(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {_GEO}, {_ORDERS}, {_LINES},
     e AS (SELECT src, dst FROM geo UNION ALL SELECT src, dst FROM ord UNION ALL SELECT src, dst FROM lin WHERE types = 64),
-    r(id) AS (SELECT 'o:' || o_orderkey FROM orders WHERE o_totalprice > 200000 AND o_orderkey % 10 = 1
+    r(id) AS (SELECT 'o:' || o_orderkey FROM orders WHERE o_totalprice > 200000
       UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)
     SELECT substr(id, 1, 1) AS kind, count(*) AS n FROM r GROUP BY 1"""
 )
 def provenance(spark: SparkSession, d: str) -> DataFrame:
     """What large orders come from, along reads and arguments, not along definitions."""
     edges = G.merged(geo_edges(spark, d), order_edges(spark, d), line_edges(spark, d))
-    seeds = table(spark, d, "orders").where("o_totalprice > 200000 AND o_orderkey % 10 = 1").select(_id("o", "o_orderkey").alias("id"))
+    seeds = table(spark, d, "orders").where("o_totalprice > 200000").select(_id("o", "o_orderkey").alias("id"))
     found = G.provenance(edges, seeds, G.READS | G.ARGUMENT)
     return found.groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
@@ -163,20 +163,30 @@ def vertices_removed(spark: SparkSession, d: str) -> DataFrame:
     return G.without_vertices(geo_edges(spark, d), gone).select("src", "dst")
 
 
-def _rare(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.08 AND l_tax >= 0.05")
-    return lines.select(_id("p", "l_partkey").alias("src"), _id("s", "l_suppkey").alias("dst"), F.lit(G.READS).alias("types"))
+_PASS = """l{n} AS (SELECT id, min(m) AS m FROM (SELECT id, m FROM l{p} UNION ALL SELECT x.a, l{p}.m FROM x JOIN l{p} ON x.b = l{p}.id) GROUP BY id)"""
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT 'p:' || l_partkey AS a, 's:' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.08 AND l_tax >= 0.05),
-    x AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(id, t) AS (SELECT a, a FROM x UNION SELECT r.id, x.b FROM r JOIN x ON r.t = x.a)
-    SELECT id, min(t) AS component FROM r GROUP BY id"""
+    f"""WITH {_LINES}, {_ORDERS}, e AS (SELECT DISTINCT src, dst FROM lin UNION SELECT src, dst FROM ord), x AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+    l0 AS (SELECT DISTINCT a AS id, a AS m FROM x), {", ".join(_PASS.format(n=i + 1, p=i) for i in range(8))}
+    SELECT id, m AS component FROM l8"""
 )
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """Parts and suppliers that rare lines connect."""
-    return G.components(_rare(spark, d))
+    """What lines and orders connect. The SQL passes least ids on eight times, as far as any two ends of one component
+    are apart here."""
+    return G.components(G.merged(line_edges(spark, d), order_edges(spark, d)))
+
+
+@query(
+    """WITH e AS (SELECT event_type || ':' || user_id AS a, event_type || ':' || (user_id // 10 * 10) AS b FROM events), v AS (SELECT a AS id, b FROM e UNION SELECT b, b FROM e)
+    SELECT id, min(id) OVER (PARTITION BY b) AS component FROM v"""
+)
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Many small components, single vertices too: users of one ten, and one type of event."""
+    events = table(spark, d, "events")
+    at = lambda u: F.concat_ws(":", "event_type", u.cast("string"))
+    edges = events.select(at(F.col("user_id")).alias("src"), at(F.floor(F.col("user_id") / 10) * 10).alias("dst"), F.lit(G.READS).alias("types"))
+    return G.clusters(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), G.merged(edges))
 
 
 @query(
@@ -284,7 +294,7 @@ def exceptions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id < 40),
+    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     p AS (SELECT user_id, min(i) FILTER (event_type = 'view') AS a, max(i) AS b FROM e GROUP BY 1)
     SELECT 'e:' || x.event_id AS a, 'e:' || y.event_id AS b, true AS before FROM p
     JOIN e x ON x.user_id = p.user_id AND x.i = p.a JOIN e y ON y.user_id = p.user_id AND y.i = p.b WHERE p.a < p.b"""
@@ -298,7 +308,7 @@ def happens_before(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT 'e:' || event_id AS id, first_value('e:' || event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS block,
-      count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 40)
+      count(*) OVER (PARTITION BY user_id) AS n FROM events)
     SELECT id, block FROM e WHERE n > 1"""
 )
 def basic_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +316,7 @@ def basic_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'e:' || event_id AS id FROM events WHERE user_id < 40 QUALIFY lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+    """SELECT 'e:' || event_id AS id FROM events QUALIFY lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
       AND lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT NULL"""
 )
 def exit_points(spark: SparkSession, d: str) -> DataFrame:
@@ -317,13 +327,13 @@ def exit_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {_GEO}, {_ORDERS}, e AS (SELECT src, dst FROM geo UNION ALL SELECT src, dst FROM ord),
-    r(id) AS (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderkey <= 40 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id),
+    r(id) AS (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 490000 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id),
     asked AS (SELECT 'p:' || l_partkey AS id FROM lineitem WHERE 'o:' || l_orderkey IN (SELECT id FROM r) GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2)
     SELECT id FROM r UNION SELECT id FROM asked"""
 )
 def static_slice(spark: SparkSession, d: str) -> DataFrame:
-    """A slice in which parts count as definitions on call: two orders have to ask for one."""
+    """A slice for the largest urgent orders, in which parts count as definitions on call: two orders have to ask for one."""
     parts = table(spark, d, "lineitem").select(_id("o", "l_orderkey").alias("src"), _id("p", "l_partkey").alias("dst"), F.lit(G.DEFINES_ON_CALL).alias("types"))
     edges = G.merged(geo_edges(spark, d), order_edges(spark, d), parts)
-    seeds = table(spark, d, "orders").where("o_orderkey <= 40").select(_id("o", "o_orderkey").alias("id"))
+    seeds = table(spark, d, "orders").where("o_orderpriority like '1%' and o_totalprice > 490000").select(_id("o", "o_orderkey").alias("id"))
     return G.static_slice(edges.select(F.col("src").alias("id")).distinct(), edges, seeds)
