@@ -4,19 +4,27 @@ Vertices are value, use, function-call, variable-definition and function-definit
 skein.operators.graph. Branches are joined by keeping all definitions that may hold; loops link what their body reads to
 what it defined a round before; a function's free names are looked up where it is made and again where it is called, and
 its outer assignments take effect where it is called. Flow edges lead from each statement to the ones that may follow.
+Functions with a meaning of their own, such as switch, local or source, are in skein.frontend.processors.
 """
 
 from __future__ import annotations
 
+import sys
+from collections import defaultdict
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from skein.frontend.parser import ASSIGN, Node, parse
+from skein.frontend.processors import KINDS, Processors
 from skein.operators.graph import ARGUMENT, CALLS, CONTROL, DEFINED_BY, DEFINED_BY_ON_CALL, DEFINES_ON_CALL, FLOW, NSE, READS, RETURNS, SIDE_EFFECT
 
 #: Functions whose first argument is a name or is not evaluated, that leave a function, or that end a program.
 LIBRARY = {"library", "require", "loadNamespace", "requireNamespace", "attachNamespace"}
 QUOTING = {"quote", "bquote", "substitute", "expression", "deparse"}
 STOPPING = {"stop", "abort", "quit", "q"}
+PIPES = {"%>%", "%<>%", "%T>%", "%$%"}
+#: Frames of recursion that the analysis of one file may take.
+DEEPEST = 500_000
 ASSIGNING = {"assign", "delayedAssign", "makeActiveBinding"}
 #: Base functions that scripts use most; calls of names that are neither these nor defined have no origin.
 BUILTIN = set(
@@ -26,6 +34,10 @@ BUILTIN = set(
     "load local log log10 log2 logical ls Map mapply matrix max mean median merge message min names nchar ncol nrow numeric on.exit options order paste paste0 pdf plot plogis png points print "
     "prod quantile range rbind read.csv read.csv2 read.delim read.table readLines readRDS Recall Reduce rep replace return rev rm rnorm round row.names rownames rowSums runif sample sapply save saveRDS sd "
     "seq seq_along seq_len set.seed setdiff setwd sin sink sort source split sprintf sqrt str strsplit sub subset substr sum summary suppressWarnings switch Sys.getenv Sys.time system t table tail "
+    "close open stop stopifnot isTRUE isFALSE mode cumsum cumprod cummax cummin duplicated rank rle outer crossprod solve sweep scale aggregate by toString shQuote dQuote sQuote noquote droplevels nlevels "
+    "Negate Vectorize identity proc.time Sys.Date Sys.setenv file.exists file.remove unlink dir.create list.files readline scan writeLines rexp rbinom rpois rgamma rbeta density hist barplot boxplot lines "
+    "abline legend par dev.off glm predict residuals coef anova t.test cor cov optim integrate UseMethod NextMethod quote bquote substitute expression parse deparse new.env assign get0 mget attach detach "
+    "rapply Position Find nargs missing sys.call sys.function parent.frame globalenv environmentName url gzfile download.file Sys.sleep mapply regmatches regexpr gregexpr startsWith endsWith chartr rawToChar "
     "tapply tolower toupper transform trimws try tryCatch union unique unlist unsplit vapply var vector warning which which.max which.min with within write write.csv write.table zip".split()
 )
 
@@ -37,13 +49,33 @@ class Function:
     exits: list[int] = field(default_factory=list)
     open: list[tuple[int, str]] = field(default_factory=list)
     outer: dict[str, set[int]] = field(default_factory=dict)
+    name: str | None = None
+    recalls: list[tuple] = field(default_factory=list)
+    hooks: list[tuple] = field(default_factory=list)
+    generics: list[tuple] = field(default_factory=list)
 
 
-class Flow:
-    """The analysis of one file; vertices: id -> (tag, name, namespace, origin, cds); edges: (src, dst) -> bits."""
+class Flow(Processors):
+    """The analysis of one file; vertices: id -> (tag, name, namespace, origin, cds); edges: (src, dst) -> bits.
 
-    def __init__(self, root: Node):
+    `sources`: texts of files that may be sourced, by path; `kinds`: what calls of a name do, beside or instead of KINDS.
+    """
+
+    def __init__(self, root: Node, sources: Mapping[str, str] | None = None, kinds: Mapping[str, str] | None = None):
         self.root = root
+        self.sources, self.kinds = dict(sources or {}), {**KINDS, **(kinds or {})}
+        self.sourced: list[tuple[int, str]] = []
+        self.sourcing: list[str] = []
+        self.once: list[int] = []  # loops whose every way through leaves them
+        self.unknown: list[int] = []  # calls that may define anything
+        self.lambdas: set[int] = set()  # formulas that stand for functions
+        self.skip: set[int] = set()  # symbols that are parameters of such
+        self.values: dict[int, set[int]] = defaultdict(set)  # src -> dst of reads and returns
+        todo, self.next_id = [root], 0
+        while todo:
+            x = todo.pop()
+            self.next_id = max(self.next_id, x.id + 1)
+            todo += [c for _, c in x.children]
         self.vertices: dict[int, tuple] = {}
         self.edges: dict[tuple[int, int], int] = {}
         self.scopes: list[dict[str, set[int]]] = [{}]
@@ -68,6 +100,8 @@ class Flow:
     def edge(self, src: int, dst: int, bits: int) -> None:
         if src != dst:
             self.edges[src, dst] = self.edges.get((src, dst), 0) | bits
+            if bits & (READS | RETURNS):
+                self.values[src].add(dst)
 
     # scopes
 
@@ -91,11 +125,19 @@ class Flow:
             self.frames[-1].outer.setdefault(name, set()).update(ids)
 
     def snapshot(self) -> list[dict[str, set[int]]]:
-        return [{k: set(v) for k, v in s.items()} for s in self.scopes]
+        # sets of definitions are replaced and never changed, so they can be shared
+        return [dict(s) for s in self.scopes]
 
     @staticmethod
     def joined(a: list[dict[str, set[int]]], b: list[dict[str, set[int]]]) -> list[dict[str, set[int]]]:
-        return [{k: x.get(k, set()) | y.get(k, set()) for k in x.keys() | y.keys()} for x, y in zip(a, b, strict=True)]
+        out = []
+        for x, y in zip(a, b, strict=True):
+            both = dict(x)
+            for k, v in y.items():
+                if both.get(k) is not v:
+                    both[k] = both.get(k, set()) | v
+            out.append(both)
+        return out
 
     # expressions: each visit gives the vertices that the expression's value comes from
 
@@ -110,6 +152,8 @@ class Flow:
 
     def on_RSymbol(self, n: Node) -> list[int]:
         name = str(n.value)
+        if n.id in self.skip:
+            return [n.id]
         if name in ("NULL", "NA", "Inf", "NaN", "NA_integer_", "NA_real_", "NA_character_") or n.get("namespace"):
             ns = n.get("namespace")
             return [self.vertex(n, "use" if ns else "value", name, ns.lexeme if ns else None)]
@@ -121,6 +165,9 @@ class Flow:
         found = self.lookup(name)
         for d in found:
             self.edge(user, d, READS)
+        if not found and name not in BUILTIN:
+            for d in self.unknown:
+                self.edge(user, d, READS)
         if self.frames and name not in self.scopes[-1]:
             self.frames[-1].open.append((user, name))
         self.reads.append((user, name, frozenset(found)))
@@ -145,7 +192,7 @@ class Flow:
 
     def on_RUnaryOp(self, n: Node) -> list[int]:
         if n.lexeme == "~":
-            return self.quoted(n, [c for _, c in n.children])
+            return self.do_lambda(n) if n.id in self.lambdas else self.quoted(n, [c for _, c in n.children])
         return self.operation(n, [c for _, c in n.children], n.lexeme)
 
     def on_RBinaryOp(self, n: Node) -> list[int]:
@@ -156,8 +203,28 @@ class Flow:
             return self.assign(n, left, right, outer=n.lexeme in ("<<-", "->>"))
         if n.lexeme == "~":
             return self.quoted(n, [left, right])
+        if n.lexeme in ("&&", "||"):
+            return self.lazy(n, left, right)
+        if n.lexeme in PIPES and right.type == "RFunctionCall":
+            out = self.on_RPipe(n)
+            if n.lexeme == "%<>%" and left.type == "RSymbol":
+                self.define(str(left.value), self.lookup(str(left.value)) | {n.id})
+                self.holds[n.id] = set(out)
+            return out
         return self.operation(n, [left, right], n.lexeme)
 
+    def lazy(self, n: Node, left: Node, right: Node) -> list[int]:
+        """The right side is evaluated only if the left one leaves the answer open."""
+        tests = self.visit(left)
+        before = self.snapshot()
+        self.cds.append((tests[0] if tests else n.id, n.lexeme == "&&"))
+        more = self.visit(right)
+        self.cds.pop()
+        self.scopes = self.joined(before, self.scopes)
+        for i in (*tests, *more):
+            self.edge(n.id, i, READS | ARGUMENT)
+        return [self.vertex(n, "function-call", n.lexeme, origin=(f"builtin:{n.lexeme}",))]
+
     def quoted(self, n: Node, parts: list[Node]) -> list[int]:
         """Parts that are not evaluated: uses without reads."""
         for p in parts:
@@ -176,13 +243,21 @@ class Flow:
             return self.operation(n, [left, right], "|>")
         first = self.visit(left)
         out = self.call(right, extra=first)
-        self.vertex(n, "function-call", "|>", origin=("builtin:|>",))
+        self.vertex(n, "function-call", n.lexeme, origin=(f"builtin:{n.lexeme}",))
         for i in out:
             self.edge(n.id, i, RETURNS | ARGUMENT)
         return [n.id]
 
     def assign(self, n: Node, target: Node, source: Node, outer: bool = False) -> list[int]:
         values = self.visit(source)
+        if source.type == "RFunctionDefinition" and source.id in self.functions and target.value is not None:
+            self.functions[source.id].name = str(target.value)
+        if target.type == "RFunctionCall" and target.lexeme == "method" and target.all("call-argument"):
+            # a method is one more function that its generic may stand for
+            generic = target.all("call-argument")[0].get("arg-value")
+            for d in self.lookup(str(generic.value)) if generic is not None and generic.value is not None else ():
+                self.holds.setdefault(d, set()).update(values)
+            return self.operation(n, [], n.lexeme)
         inner, old = target, False
         while inner.type in ("RAccess", "RFunctionCall"):
             # x$a <- v and names(x) <- v change x and keep the rest of it
@@ -218,7 +293,9 @@ class Flow:
             value = a.get("arg-value")
             if value is None:
                 continue
-            if n.lexeme in ("$", "@") and value.type == "RSymbol":
+            if n.lexeme == "[" and value.type == "RBinaryOp" and value.lexeme == ":=":
+                self.table_assignment(n, value)
+            elif n.lexeme in ("$", "@") and value.type == "RSymbol":
                 self.vertex(value, "value", value.lexeme)
                 self.edge(n.id, value.id, ARGUMENT)
             else:
@@ -240,7 +317,7 @@ class Flow:
         if callee.type not in ("RSymbol", "RString"):
             for i in self.visit(callee):
                 self.edge(n.id, i, READS | CALLS)
-            self.vertex(n, "function-call", None, origin=("function",))
+            self.vertex(n, "function-call", None, origin=("function",) if callee.type != "RAccess" else ("unnamed",))
             self.into_functions(n, self.functions_of(self.visit_values(callee)), self.arguments(n, args, extra))
             return [n.id]
         name = str(callee.value)
@@ -256,6 +333,9 @@ class Flow:
             return self.quoted(n, [v for v in values if v is not None])
         if name in ASSIGNING and len(values) > 1 and values[0] is not None and values[0].type == "RString":
             return self.assign(n, values[0], values[1])
+        kind = self.kinds.get(name)
+        if kind is not None and (ns is not None or not self.lookup(name)):
+            return getattr(self, "do_" + kind.replace("-", "_"))(n, name, args, extra)
         given = self.arguments(n, args, extra)
         defs = set() if ns else self.lookup(name)
         functions = self.functions_of(defs)
@@ -300,7 +380,8 @@ class Flow:
             if i in self.functions:
                 out.append(self.functions[i])
             todo += self.holds.get(i, ())
-            todo += [d for (s, d), bits in self.edges.items() if s == i and bits & (READS | RETURNS) and self.vertices.get(i, ("",))[0] == "use"] if i not in self.holds else []
+            if i not in self.holds and self.vertices.get(i, ("",))[0] in ("use", "function-call"):
+                todo += self.values.get(i, ())
         return sorted(out, key=lambda f: f.node.id)
 
     def into_functions(self, n: Node, functions: list[Function], given: list[tuple[str | None, list[int]]]) -> None:
@@ -315,10 +396,44 @@ class Flow:
                         self.edge(place, i, DEFINED_BY_ON_CALL)
                         self.edge(i, place, DEFINES_ON_CALL)
             self.late(f)
-            for name, ids in f.outer.items():
-                self.define(name, self.lookup(name) | ids)
+            self.effects(n, f, set())
+            for m, generic, _ in f.generics:
+                self.into_methods(m, self.methods(f, generic), given)
+
+    def effects(self, n: Node, f: Function, seen: set[int]) -> None:
+        """Outer assignments of a function, and of the functions that it calls, take effect where it is called."""
+        if f.node.id in seen:
+            return
+        seen.add(f.node.id)
+        for name, ids in f.outer.items():
+            self.define(name, self.lookup(name) | ids)
+            for i in ids:
+                self.edge(n.id, i, SIDE_EFFECT)
+        for user, name in f.open:
+            if self.vertices.get(user, ("",))[0] == "function-call":
+                for g in self.functions_of(self.lookup(name)):
+                    self.effects(n, g, seen)
+
+    def methods(self, f: Function, generic: str | None) -> list[Function]:
+        """The functions that a generic's dispatch may go to; of a method, the others of its generic."""
+        if generic is None:
+            if f.name is None or "." not in f.name:
+                return []
+            generic = f.name.split(".", 1)[0]
+        names = {k for s in self.scopes for k in s if k.startswith(generic + ".")}
+        return [g for g in self.functions_of({d for k in names for d in self.lookup(k)}) if g is not f]
+
+    def into_methods(self, n: Node, methods: list[Function], given: list[tuple[str | None, list[int]]]) -> None:
+        for g in methods:
+            self.edge(n.id, g.node.id, CALLS)
+            for x in g.exits:
+                self.edge(n.id, x, RETURNS)
+            for param, ids in matched(given, [p for p, _, _ in g.params]):
+                place = next((i for p, i, _ in g.params if p == param), None)
                 for i in ids:
-                    self.edge(n.id, i, SIDE_EFFECT)
+                    if place is not None:
+                        self.edge(place, i, DEFINED_BY_ON_CALL)
+                        self.edge(i, place, DEFINES_ON_CALL)
 
     def late(self, f: Function) -> None:
         """Links a function's free names to what they mean now."""
@@ -331,6 +446,8 @@ class Flow:
                     self.edge(user, g.node.id, CALLS)
                     for x in g.exits:
                         self.edge(user, x, RETURNS)
+        for m, generic, given in f.generics:
+            self.into_methods(m, self.methods(f, generic), given)
 
     def on_RFunctionDefinition(self, n: Node) -> list[int]:
         f = Function(n)
@@ -349,6 +466,19 @@ class Flow:
                 for i in self.visit(default):
                     self.edge(p.get("param-name").id, i, DEFINED_BY)
         f.exits += self.visit(n.get("function-def-body"))
+        for hook, args in f.hooks:
+            for a in args:
+                for i in self.visit(a):
+                    self.edge(hook.id, i, ARGUMENT | READS)
+        for again, given in f.recalls:
+            self.edge(again.id, n.id, CALLS)
+            for x in f.exits:
+                self.edge(again.id, x, RETURNS)
+            for param, ids in matched(given, [p for p, _, _ in f.params]):
+                for i in ids:
+                    for place in (q for p, q, _ in f.params if p == param):
+                        self.edge(place, i, DEFINED_BY_ON_CALL)
+                        self.edge(i, place, DEFINES_ON_CALL)
         self.frames.pop()
         self.scopes.pop()
         self.cds = cds
@@ -371,7 +501,7 @@ class Flow:
         for branch, when in ((then, True), (other, False)):
             if fixed is not None and fixed != when:
                 continue
-            self.scopes = [{k: set(v) for k, v in s.items()} for s in before]
+            self.scopes = [dict(s) for s in before]
             if branch is not None:
                 if fixed is None:
                     self.cds.append((tests[0] if tests else n.id, when))
@@ -460,9 +590,12 @@ class Flow:
             return out
         if n.type in ("RForLoop", "RWhileLoop", "RRepeatLoop"):
             body = n.get({"RForLoop": "for-body", "RWhileLoop": "while-body", "RRepeatLoop": "repeat-body"}[n.type])
-            breaks: list[int] = []
-            for x in self.step(body, [n.id], [n.id, breaks]):
+            breaks, again = [], []
+            ends = self.step(body, [n.id], [n.id, breaks, again])
+            for x in ends:
                 self.edge(x, n.id, FLOW)
+            if not ends and not again:
+                self.once.append(n.id)
             cond = n.get("while-cond")
             endless = n.type == "RRepeatLoop" or (cond is not None and cond.value is True)
             return breaks if endless else [n.id, *breaks]
@@ -471,11 +604,37 @@ class Flow:
             return []
         if n.type == "RNext" and leave:
             self.edge(n.id, leave[0], FLOW)
+            leave[2].append(n.id)
             return []
-        if n.type == "RFunctionCall" and n.get("call-name").value in STOPPING | {"return"}:
-            return []
+        if n.type == "RFunctionCall":
+            name = n.get("call-name").value
+            first = next((a.get("arg-value") for a in n.all("call-argument")), None)
+            if name in STOPPING | {"return"} or (name == "stopifnot" and first is not None and first.value is False):
+                return []
         return [n.id]
 
+    def unreached(self) -> list[int]:
+        """Statements of the file and of blocks that no way from the file's or a function's beginning comes to."""
+        after: dict[int, list[int]] = defaultdict(list)
+        for (src, dst), bits in self.edges.items():
+            if bits & FLOW:
+                after[src].append(dst)
+        first = next((c.id for role, c in self.root.children if role != "comment"), None)
+        todo = [d for (_, d), bits in self.edges.items() if bits & CONTROL] + ([] if first is None else [first])
+        seen = set(todo)
+        while todo:
+            for y in after[todo.pop()]:
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        out, nodes = [], [self.root]
+        while nodes:
+            x = nodes.pop()
+            if x.type == "RExpressionList" and x.lexeme != "(":
+                out += [c.id for role, c in x.children if role == "expr-list-child" and c.type != "RError" and c.id not in seen]
+            nodes += [c for role, c in x.children if role != "inlined"]
+        return sorted(out)
+
     def bodies(self, n: Node) -> None:
         """Flow inside the functions that a statement defines, entered by a control edge."""
         todo = [n] if n.type not in ("RExpressionList", "RIfThenElse", "RForLoop", "RWhileLoop", "RRepeatLoop") else [n.get(r) for r in ("if-cond", "for-vector", "while-cond") if n.get(r)]
@@ -515,5 +674,12 @@ def matched(given: list[tuple[str | None, list[int]]], formals: list[str]) -> li
     return out
 
 
-def analyse(text: str) -> Flow:
-    return Flow(parse(text))
+def analyse(text: str, sources: Mapping[str, str] | None = None, kinds: Mapping[str, str] | None = None) -> Flow:
+    """The flow of a file's text. Deep nesting is no problem: Python's limit on recursion is lifted meanwhile, which costs
+    heap and no stack."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEEPEST))
+    try:
+        return Flow(parse(text), sources, kinds)
+    finally:
+        sys.setrecursionlimit(limit)

@@ -320,6 +320,10 @@ class Parser:
             out.append(a)
             if self.peek().text == ",":
                 self.at += 1
+                last = self.peek()
+                if close == "]" and last.text == close and last.kind == "op":
+                    # x[i, ] has an empty second index
+                    out.append(Node("RArgument", "", (last.line, last.col), (last.line, last.col)))
             elif self.peek().text != close:
                 raise Problem("expected , in arguments")
 

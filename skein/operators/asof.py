@@ -61,10 +61,19 @@ def survivors(allowed: DataFrame, item: str, constraint: str, within: Sequence[s
     """Items that every constraint of their group allows: allowed has a row for each (constraint, item)."""
     total = allowed.groupBy(*within).agg(F.countDistinct(constraint).alias("_all"))
     each = allowed.groupBy(*within, item).agg(F.countDistinct(constraint).alias("_n"))
+    # without groups the total is one row
     both = each.join(total, list(within)) if within else each.crossJoin(F.broadcast(total))
     return both.where("_n = _all").select(*within, item)
 
 
+def in_range(rows: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
+    """rows joined with the ranges [low, high) that hold their value: an equi-join on buckets of `width`, which should be
+    about a range's, so that equal buckets meet and not all pairs."""
+    r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    o = rows.withColumn("_bucket", F.floor(F.col(value) / width))
+    return o.join(r, "_bucket").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bucket")
+
+
 def preferred(sources: DataFrame, key: Sequence[str], priority: str, *ties: str) -> DataFrame:
     """Of several sources' rows for a key those of the first source that has any: no window over all columns, only the
     least priority is shuffled."""

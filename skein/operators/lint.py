@@ -72,19 +72,23 @@ def casing(name: Column) -> Column:
     return out.otherwise("unknown")
 
 
-def naming(names: DataFrame, column: str) -> DataFrame:
-    """Names whose casing is not the commonest: with casing and expected. One distinct name counts once."""
+def naming(names: DataFrame, column: str, by: Sequence[str] = (), expected: str | None = None) -> DataFrame:
+    """Names whose casing is not the commonest of their group, or not the expected one: with casing and expected. One
+    distinct name counts once; of equally common casings the last by name."""
     cased = names.withColumn("casing", casing(F.col(column)))
-    common = cased.where("casing <> 'unknown'").groupBy("casing").agg(F.count("*").alias("n"))
-    expected = common.agg(F.max_by("casing", F.struct("n", "casing")).alias("expected"))
-    return cased.crossJoin(F.broadcast(expected)).where("casing <> expected")
+    if expected is not None:
+        return cased.withColumn("expected", F.lit(expected)).where("casing <> expected")
+    common = cased.where("casing <> 'unknown'").groupBy(*by, "casing").agg(F.count("*").alias("n"))
+    # one row without groups, one for each group with them
+    best = common.groupBy(*by).agg(F.max_by("casing", F.struct("n", "casing")).alias("expected"))
+    return (cased.join(best, list(by)) if by else cased.crossJoin(F.broadcast(best))).where("casing <> expected")
 
 
 def deprecated(calls: DataFrame, table: DataFrame, name: str = "name", version: Column | None = None) -> DataFrame:
     """Calls of deprecated functions: table (name, since), since null for always; `version` in use."""
     from skein.functions import versions as V
 
-    out = calls.join(F.broadcast(table), name)
+    out = calls.join(table, name)
     return out if version is None else out.where(F.col("since").isNull() | (V.parse(version) >= V.parse(F.col("since"))))
 
 

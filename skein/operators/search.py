@@ -8,7 +8,9 @@ search is a plan: nothing runs until its frame is used, and Catalyst sees the wh
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +19,6 @@ from pyspark.sql.window import Window
 from skein.functions import ranges as R
 
 
-
 def _order(keys: Sequence[str]) -> list[Column]:
     return [F.col("sl").asc_nulls_last(), F.col("sc").asc_nulls_last(), *[F.col(k) for k in keys]]
 
@@ -74,12 +75,14 @@ def one_of(a: Column, b: Column) -> Column:
 class Search:
     """A search and its transformers. `keys` tell all nodes apart and break ties of location."""
 
-    def __init__(self, nodes: DataFrame, keys: Sequence[str] = ("file_id", "node_id"), frame: DataFrame | None = None):
+    def __init__(self, nodes: DataFrame, keys: Sequence[str] = ("file_id", "node_id"), frame: DataFrame | None = None, all_nodes: DataFrame | None = None):
         self.nodes, self.keys = nodes, list(keys)
         self.frame = nodes.dropDuplicates(self.keys) if frame is None else frame
+        #: The whole tree, where `nodes` is a part of it.
+        self.all_nodes = nodes if all_nodes is None else all_nodes
 
     def _with(self, frame: DataFrame) -> Search:
-        return Search(self.nodes, self.keys, frame)
+        return Search(self.nodes, self.keys, frame, self.all_nodes)
 
     # generators
 
@@ -132,35 +135,71 @@ class Search:
         return self.get(line=line, column=column, fuzzy=True)
 
     def criterion(self, *criteria: str) -> Search:
-        """Slicing criteria: `$id`, `line:column`, `line~column`, `line@name`, `line@[n]name` (the n-th in
-        a file's line)."""
+        """Slicing criteria: `$id`, `line:column`, `line~column` (a range that holds the place), `line@name` (the first of
+        that name in a file's line), `line@[n]name` (the n-th, from the end if n is negative), `line^` (the statement of
+        the file on that line). A negative line counts from the file's end. A regular expression in parentheses after the
+        criterion says which files it is for."""
         out: Search | None = None
-        for c in criteria:
-            if c.startswith("$"):
-                one = self.get(id=c[1:])
-            elif "@" in c:
-                line, name = c.split("@", 1)
-                if name.startswith("["):
-                    n, name = name[1:].split("]", 1)
-                    found = self.get(line=int(line), name=name).frame
-                    nth = F.row_number().over(Window.partitionBy("file_id").orderBy(*_order(self.keys)))
-                    one = self._with(found.withColumn("_n", nth).where(F.col("_n") == int(n)).drop("_n"))
-                else:
-                    one = self.get(line=int(line), name=name)
-            elif "~" in c:
-                one = self.loc_fuzzy(*map(int, c.split("~")))
+        for text in criteria:
+            if text.startswith("$"):
+                one = self.get(id=text[1:])
             else:
-                one = self.loc(*map(int, c.split(":")))
+                c, only = _file_filter(text)
+                here = self if only is None else self._with(self.frame.where(F.col("file_id").rlike(only)))
+                one = here._placed(c)
             out = one if out is None else out.merge(one)
         if out is None:
             raise ValueError("no criteria")
         return out.unique()
 
+    def _placed(self, c: str) -> Search:
+        if m := re.fullmatch(r"(-?\d+)@(?:\[(-?\d+)\])?(.+)", c, re.S):
+            line, n, name = int(m[1]), int(m[2] or 1), m[3]
+            found = self.get(line=line, name=name).frame
+            order = _order(self.keys) if n > 0 else [F.col("sl").desc(), F.col("sc").desc(), *[F.col(k).desc() for k in self.keys]]
+            nth = F.row_number().over(Window.partitionBy("file_id").orderBy(*order))
+            return self._with(found.withColumn("_n", nth).where(F.col("_n") == abs(n)).drop("_n"))
+        if m := re.fullmatch(r"(-?\d+)([:~])(\d+)", c):
+            return self.get(line=int(m[1]), column=int(m[3]), fuzzy=m[2] == "~", innermost=m[2] == "~")
+        if m := re.fullmatch(r"(-?\d+)\^", c):
+            return self._statement_on(int(m[1]))
+        raise ValueError(f"no criterion: {c!r}")
+
+    def _statement_on(self, line: int) -> Search:
+        """The statements of files, not of blocks in them, that cover a line; of several the first."""
+        top = self._with(self.frame.where("depth = 1")).get(line=line, fuzzy=True).frame
+        first = F.row_number().over(Window.partitionBy("file_id").orderBy(*_order(self.keys)))
+        return self._with(top.withColumn("_n", first).where("_n = 1").drop("_n"))
+
     def from_ids(self, ids: DataFrame) -> Search:
         return self._with(self.frame.join(ids, self.keys, "left_semi"))
 
+    def from_query(self, found: DataFrame, key: str = "id", data: str | None = None) -> Search:
+        """The nodes that the rows of a query's result name; with `data`, these rows as an enrichment of that name."""
+        ids = found.select(F.col(key).alias("node_id")).where("node_id is not null").distinct()
+        out = self._with(self.frame.join(ids, "node_id", "left_semi"))
+        if data is None:
+            return out
+        rows = found.select(F.col(key).alias("node_id"), F.to_json(F.struct(*[F.col(c) for c in found.columns if c != key])).alias("_data"))
+        given = rows.groupBy("node_id").agg(F.sort_array(F.collect_list("_data")).alias(data))
+        return self._with(out.frame.join(given, "node_id", "left"))
+
+    def syntax(self, pattern: str, *captures: str) -> Search:
+        """The nodes that a tree pattern captures. A pattern is `(type role: (type ...) ... "lexeme") @name`, `_` standing for
+        any type; a role in front of a child is its role in the parent. Without named captures, all captured nodes."""
+        wanted = _pattern(pattern)
+        rows, names = _matched(wanted, self.all_nodes)
+        chosen = [n for n in names if not captures or n in captures]
+        ids = rows.select(F.explode(F.array(*[F.col(f"@{n}") for n in chosen])).alias("node_id")).distinct()
+        return self._with(self.frame.join(ids, "node_id", "left_semi"))
+
     # transformers
 
+    def map(self, f: Callable[[DataFrame], DataFrame]) -> Search:
+        """The nodes that a function of the found ones names in a column node_id, each once."""
+        ids = f(self.frame).select("node_id").distinct()
+        return self._with(self.nodes.dropDuplicates(self.keys).join(ids, "node_id", "left_semi"))
+
     def filter(self, condition: Column) -> Search:
         return self._with(self.frame.where(condition))
 
@@ -215,3 +254,80 @@ def two_layers(calls: DataFrame, patterns: DataFrame, name: str = "name") -> Dat
     exact = calls.alias("c").join(patterns.where("exact").alias("p"), F.col(f"c.{name}") == F.col("p.pattern"))
     tried = calls.alias("c").join(patterns.where("not exact").alias("p"), F.expr(f"c.{name} rlike p.pattern"))
     return exact.select("p.kind", "p.subkind", *columns).union(tried.select("p.kind", "p.subkind", *columns)).distinct()
+
+
+def _file_filter(criterion: str) -> tuple[str, str | None]:
+    m = re.fullmatch(r"([^()]*)\(((?:\\.|[^()])*)\)", criterion)
+    return (m[1], m[2]) if m else (criterion, None)
+
+
+class Pattern:
+    """One node of a tree pattern: its type (None: any), lexeme, capture, and children with their roles."""
+
+    def __init__(self, kind: str | None):
+        self.kind, self.lexeme, self.capture = kind, None, None
+        self.children: list[tuple[str | None, Pattern]] = []
+
+
+def _pattern(text: str) -> Pattern:
+    tokens = re.findall(r'\(|\)|"(?:\\.|[^"\\])*"|@[\w.-]+|[\w-]+:|[\w.-]+', text)
+    at = 0
+
+    def node() -> Pattern:
+        nonlocal at
+        if at >= len(tokens) or tokens[at] != "(":
+            raise ValueError(f"expected ( in pattern {text!r}")
+        out = Pattern(None if tokens[at + 1] == "_" else tokens[at + 1])
+        at += 2
+        role = None
+        while at < len(tokens) and tokens[at] != ")":
+            t = tokens[at]
+            if t == "(":
+                out.children.append((role, node()))
+                role = None
+            elif t.endswith(":"):
+                role, at = t[:-1], at + 1
+            elif t.startswith('"'):
+                out.lexeme, at = json.loads(t), at + 1
+            else:
+                raise ValueError(f"unexpected {t} in pattern {text!r}")
+        if at >= len(tokens):
+            raise ValueError(f"unclosed pattern {text!r}")
+        at += 1
+        if at < len(tokens) and tokens[at].startswith("@"):
+            out.capture, at = tokens[at][1:], at + 1
+        return out
+
+    found = node()
+    if at != len(tokens):
+        raise ValueError(f"more than one pattern in {text!r}")
+    return found
+
+
+def _matched(p: Pattern, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The matches of a pattern, one column @name for each capture: a join on the parent for each child."""
+    counter, names = iter(range(1 << 30)), []
+
+    def of(q: Pattern) -> tuple[DataFrame, str]:
+        me = f"_n{next(counter)}"
+        rows = nodes
+        if q.kind is not None:
+            rows = rows.where(F.col("type") == q.kind)
+        if q.lexeme is not None:
+            rows = rows.where(F.col("lexeme") == q.lexeme)
+        rows = rows.select(F.col("node_id").alias(me), F.col("parent_id").alias(f"{me}_up"), F.col("role").alias(f"{me}_role"))
+        if q.capture:
+            names.append(q.capture)
+            rows = rows.withColumn(f"@{q.capture}", F.col(me))
+        for role, child in q.children:
+            inner, key = of(child)
+            if role is not None:
+                inner = inner.where(F.col(f"{key}_role") == role)
+            rows = rows.join(inner, F.col(me) == F.col(f"{key}_up")).drop(f"{key}_up", f"{key}_role")
+        return rows, me
+
+    out, me = of(p)
+    if not names:
+        names.append("match")
+        out = out.withColumn("@match", F.col(me))
+    return out.select(*[f"@{n}" for n in names]).distinct(), names

@@ -7,6 +7,7 @@ fn_callee (pkg, version, name, callee), pkg_dep (pkg, version, dep, type, constr
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,3 +165,60 @@ class Signatures:
         """The number of ways to choose a version of each package, couplings aside: an upper bound."""
         each = feasible.groupBy("pkg").agg(F.count("*").alias("n"))
         return each.agg(F.round(F.exp(F.sum(F.ln("n")))).cast("decimal(38,0)").alias("combinations"))
+
+    def coinstallable(self, feasible: DataFrame) -> DataFrame:
+        """pkg, version, dep, dep_version: versions of packages that need one another and fit together."""
+        have = feasible.select(F.col("pkg").alias("dep"), F.col("version").alias("dep_version"))
+        needs = self.pkg_dep.where("type in ('Depends', 'Imports', 'LinkingTo')").join(feasible, ["pkg", "version"], "left_semi").join(have, "dep")
+        ok = F.coalesce(V.satisfies(F.col("dep_version"), F.coalesce("constraint", F.lit(""))), F.lit(True))
+        every = needs.groupBy("pkg", "version", "dep", "dep_version").agg(F.bool_and(ok).alias("ok"))
+        return every.where("ok").drop("ok")
+
+    def explode(self, feasible: DataFrame, packages: Sequence[str], most: int = 256) -> DataFrame:
+        """One column for each of the packages: up to `most` ways to choose their versions together, newest first. Packages
+        are joined one after the other; those that need one another only in versions that fit."""
+        fits, out, done = self.coinstallable(feasible), None, []
+        couples = {(r.pkg, r.dep) for r in fits.select("pkg", "dep").where(F.col("pkg").isin(*packages) & F.col("dep").isin(*packages)).distinct().collect()}
+        for p in packages:
+            mine = feasible.where(F.col("pkg") == p).select(F.col("version").alias(p))
+            links = [q for q in done if (p, q) in couples or (q, p) in couples]
+            if out is None:
+                out = mine
+            elif not links:
+                # nothing couples them: every choice goes with every other, as many as are asked for
+                out = out.crossJoin(mine.orderBy(V.parse(F.col(p)).desc()).limit(most))
+            for q in links:
+                a, b = (p, q) if (p, q) in couples else (q, p)
+                pair = fits.where((F.col("pkg") == a) & (F.col("dep") == b)).select(F.col("version").alias(a), F.col("dep_version").alias(b))
+                out = out.join(pair, [c for c in (a, b) if c in out.columns])
+            done.append(p)
+            out = out.orderBy(*[V.parse(F.col(c)).desc() for c in out.columns]).limit(most)
+        return out.select(*packages)
+
+    def evidence(self, wanted: DataFrame, used: DataFrame | None = None) -> DataFrame:
+        """pkg, source, detail, lowest, highest: what bounds a package's versions: declared constraints, and the first and
+        last version that has a used function (pkg, name)."""
+        v = self.pkg_version.select("pkg", "version")
+        edge = (F.min_by("version", V.parse(F.col("version"))).alias("lowest"), V.highest(F.col("version")).alias("highest"))
+        bound = wanted.where("constraint is not null").select("pkg", "constraint").distinct()
+        declared = v.join(bound, "pkg").where(V.satisfies(F.col("version"), F.col("constraint"))).groupBy("pkg", F.lit("constraint").alias("source"), F.col("constraint").alias("detail")).agg(*edge)
+        if used is None:
+            return declared
+        have = self.fn.join(used.select("pkg", "name").distinct(), ["pkg", "name"], "left_semi")
+        return declared.union(have.groupBy("pkg", F.lit("signature").alias("source"), F.col("name").alias("detail")).agg(*edge))
+
+    def properties(self, names: DataFrame) -> DataFrame:
+        """name, pkg, properties: what the newest versions' functions of these names (name) are."""
+        kinds = {"exported": EXPORTED, "internal": INTERNAL, "deprecated": DEPRECATED, "s3": S3, "s4": S4}
+        rows = self.fn.join(names.select("name").distinct(), "name", "left_semi").join(self.newest(), ["pkg", "version"], "left_semi")
+        listed = F.filter(F.array(*[F.when(F.col("props").bitwiseAND(F.lit(bit)) != 0, F.lit(k)) for k, bit in kinds.items()]), lambda x: x.isNotNull())
+        return rows.select("name", "pkg", listed.alias("properties"))
+
+    def class_owners(self) -> DataFrame:
+        """name, packages: which packages define a class of that name."""
+        return self.fn.where(F.col("props").bitwiseAND(F.lit(S4)) != 0).groupBy("name").agg(F.sort_array(F.collect_set("pkg")).alias("packages"))
+
+    def usage(self, calls: DataFrame) -> DataFrame:
+        """pkg, name, arguments: which arguments calls (pkg, name, argument) give to each function that is known."""
+        known = calls.join(self.fn.select("pkg", "name").distinct(), ["pkg", "name"], "left_semi")
+        return known.groupBy("pkg", "name").agg(F.sort_array(F.collect_set("argument")).alias("arguments"))

@@ -52,20 +52,31 @@ def role(path: Column) -> Column:
     return out.otherwise("other")
 
 
+def _glob_pattern(line: str) -> str:
+    """An ignore file's glob as a regular expression over paths."""
+    anchored, folder = line.startswith("/") or "/" in line.rstrip("/")[1:], line.endswith("/")
+    body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", line.strip("/")))
+    return ("(?:^|.*/)" if not anchored or not line.startswith("/") else "^") + body + ("/.*" if folder else "(?:/.*)?") + "$"
+
+
 def ignore_pattern(lines: Sequence[str], regex: bool = False) -> str | None:
-    """One regular expression for an ignore file's lines: globs, or regular expressions that any part may match."""
-    out = []
-    for line in lines:
-        line = line.strip()
-        if not line or line.startswith("#") or line.startswith("!"):
-            continue
-        if regex:
-            out.append(f"(?i:{line})")
+    """One regular expression for an ignore file's lines: globs, or regular expressions that any part may match. Lines that
+    take something back need not_ignored()."""
+    kept = [x.strip() for x in lines if x.strip() and not x.strip().startswith(("#", "!"))]
+    return "|".join(f"(?i:{x})" if regex else _glob_pattern(x) for x in kept) or None
+
+
+def not_ignored(paths: DataFrame, lines: Sequence[str], regex: bool = False, column: str = "path") -> DataFrame:
+    """The rows whose path the lines of an ignore file leave: the last line that matches decides, `!` takes back."""
+    verdict = F.lit(False)
+    for line in (x.strip() for x in lines):
+        if not line or line.startswith("#"):
             continue
-        anchored, folder = line.startswith("/") or "/" in line.rstrip("/")[1:], line.endswith("/")
-        body = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t, re.escape(t)) for t in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", line.strip("/")))
-        out.append(("^" if anchored else "(?:^|.*/)") + body + ("/.*" if folder else "(?:/.*)?") + "$")
-    return "|".join(out) or None
+        back = line.startswith("!") and not regex
+        pattern = f"(?i:{line})" if regex else _glob_pattern(line[1:] if back else line)
+        hit = F.col(column).rlike(pattern)
+        verdict = F.when(hit, F.lit(not back)).otherwise(verdict)
+    return paths.where(~verdict)
 
 
 def discover(spark: SparkSession, root: str, ignore: Sequence[str] = (), build_ignore: Sequence[str] = (), every: bool = False) -> DataFrame:
@@ -73,9 +84,7 @@ def discover(spark: SparkSession, root: str, ignore: Sequence[str] = (), build_i
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_plain(F.col("path")).alias("path"), F.col("length").alias("size"))
     out = files.withColumn("path", F.regexp_replace("path", "^" + re.escape(root.removeprefix("file://").rstrip("/")) + "/", ""))
     out = out.where(~F.col("path").rlike(IGNORED))
-    for pattern in (ignore_pattern(ignore), ignore_pattern(build_ignore, regex=True)):
-        if pattern:
-            out = out.where(~F.col("path").rlike(pattern))
+    out = not_ignored(not_ignored(out, ignore), build_ignore, regex=True)
     out = out.withColumn("role", role(F.col("path")))
     return out if every else out.where("role <> 'other'")
 
@@ -93,6 +102,13 @@ def rmarkdown(files: DataFrame) -> DataFrame:
     return found.select("path", "chunk", line.alias("line"), part(2).alias("engine"), F.regexp_replace(part(3), r"^[\s,]+|\s+$", "").alias("options"), part(4).alias("code"))
 
 
+def chunk_options(chunks: DataFrame) -> DataFrame:
+    """path, chunk, key, value of the options in a chunk's first lines, `#| key: value`."""
+    lines = F.filter(F.split("code", "\n"), lambda x: x.startswith("#|"))
+    rows = chunks.select("path", "chunk", F.explode(lines).alias("line"))
+    return rows.select("path", "chunk", F.trim(F.regexp_extract("line", r"^#\|\s*([^:]+):", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^#\|[^:]+:(.*)$", 1)).alias("value"))
+
+
 def restored(text: Column, code: Column, changed: Column) -> Column:
     """A notebook with one chunk's code replaced."""
     return F.replace(text, code, changed)
@@ -125,6 +141,27 @@ def dcf(files: DataFrame) -> DataFrame:
     return fields.select("path", "record", F.regexp_extract("line", r"^([^:]+):", 1).alias("key"), F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1)).alias("value"))
 
 
+def meta(files: DataFrame) -> DataFrame:
+    """path, name, version, title, license, authors (how many) of descriptions."""
+    fields = dcf(files)
+    of = lambda k, n: F.max(F.when(F.col("key") == k, F.col("value"))).alias(n)
+    people = authors(fields).groupBy("path").agg(F.count("*").cast("int").alias("authors"))
+    return fields.groupBy("path").agg(of("Package", "name"), of("Version", "version"), of("Title", "title"), of("License", "license")).join(people, "path", "left")
+
+
+def manifest_meta(leaves: DataFrame) -> DataFrame:
+    """path, name, version of manifests."""
+    of = lambda n: F.max(F.when(F.col("key").rlike(rf"^(?:project\.|package\.)?{n}$"), F.col("value"))).alias(n)
+    return leaves.groupBy("path").agg(of("name"), of("version"))
+
+
+def namespace_imports(directives: DataFrame) -> DataFrame:
+    """path, package, names: what namespace files import; no names stand for all."""
+    whole = directives.where("directive = 'import'").select("path", F.explode("args").alias("package"), F.array().cast("array<string>").alias("names"))
+    some = directives.where("directive = 'importFrom'").select("path", F.col("args")[0].alias("package"), F.slice("args", F.lit(2), F.size("args")).alias("names"))
+    return whole.union(some)
+
+
 def dependencies(fields: DataFrame) -> DataFrame:
     """path, type, package, constraint (null for any) from a description's fields."""
     kinds = ("Depends", "Imports", "Suggests", "Enhances", "LinkingTo")
@@ -275,3 +312,16 @@ def loading_order(files: DataFrame, collate: Sequence[str] = (), first: Sequence
     listed = F.array_position(F.lit(list(collate)) if collate else F.array().cast("array<string>"), name)
     group = F.when(name.isin(*first), 0).when(listed > 0, 1).otherwise(2)
     return files.withColumn("place", F.row_number().over(Window.orderBy(group, listed, "path")))
+
+
+def project_order(files: DataFrame, collate: DataFrame, sourced: DataFrame, first: Sequence[str] = (".Rprofile",)) -> DataFrame:
+    """files (path, file) of projects with `place` in each: profiles, then what the project's description lists (path, at,
+    listed), then files that others source (path, file), then the rest by name."""
+    from pyspark.sql.window import Window
+
+    name = F.regexp_extract("file", r"([^/]*)$", 1)
+    out = files.withColumn("_name", name).join(collate.select("path", F.col("listed").alias("_name"), F.col("at").alias("_at")), ["path", "_name"], "left")
+    out = out.join(sourced.select("path", "file", F.lit(True).alias("_sourced")).distinct(), ["path", "file"], "left")
+    group = F.when(F.col("_name").isin(*first), 0).when(F.col("_at").isNotNull(), 1).when(F.col("_sourced"), 2).otherwise(3)
+    order = Window.partitionBy("path").orderBy(group, "_at", "file")
+    return out.withColumn("place", F.row_number().over(order)).select(*files.columns, "place")

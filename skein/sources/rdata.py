@@ -293,7 +293,11 @@ def frame(files: DataFrame, name: str | None = None) -> DataFrame:
         schema = pa.schema([("path", pa.string()), ("row", pa.int64()), ("values", pa.string())])
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for own, v in read(raw):
+                try:
+                    found = list(read(raw))
+                except (ValueError, IndexError, KeyError, EOFError, OSError, struct.error, lzma.LZMAError, zlib.error):
+                    continue  # objects() says what is wrong with it
+                for own, v in found:
                     if "data.frame" in v.strings("class") and name in (None, own):
                         names = v.strings("names")
                         rows = zip(*[cells(c) for c in v.data], strict=True)

@@ -1,6 +1,6 @@
 """Structured Streaming over a folder of programs: each batch of new files is parsed once, linted and appended.
 
-The checkpoint folder makes it exactly-once per file: a batch that failed is run again and its rows replace the former.
+Files are known by their whole paths, so equal names in two folders stay apart. The checkpoint folder makes it exactly-once per file: a batch that failed is run again and its rows replace the former.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ def findings(spark: SparkSession, folder: str, out: str, checkpoint: str, rules:
     """Lint findings of the folder's files, as Parquet by batch under `out`; with once, until all present files are done."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).load(folder)
-    files = files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file_id"), F.col("content").cast("string").alias("content"))
+    files = files.select(F.regexp_replace("path", "^[a-z]+:/*(?=/)", "").alias("file_id"), F.col("content").cast("string").alias("content"))
 
     def each(batch: DataFrame, number: int) -> None:
         QUERIES["linter"](Program(batch), rules).write.mode("overwrite").parquet(f"{out}/batch={number}")
