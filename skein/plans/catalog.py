@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.plans.registry import ORACLES, QUERIES
 
-MODULES = ("graphs", "searches", "verbs", "scalars", "history", "lints", "sinks", "shapes", "programs")
+MODULES = ("graphs", "searches", "verbs", "scalars", "history", "lints", "sinks", "shapes", "programs", "analysis", "processors", "rules", "frames", "formats", "packages")
 
 
 def _load() -> None:

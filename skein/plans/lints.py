@@ -11,9 +11,9 @@ from skein.plans.searches import _NODES, nodes
 from skein.session import table
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < 20)")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < 2)")
 def lint_unused_definition(spark: SparkSession, d: str) -> DataFrame:
-    reads = table(spark, d, "lineitem").where("l_quantity < 20").select(F.col("l_partkey").alias("p_partkey"))
+    reads = table(spark, d, "lineitem").where("l_quantity < 2").select(F.col("l_partkey").alias("p_partkey"))
     return L.unused(table(spark, d, "part").select("p_partkey", "p_name"), reads, "p_partkey")
 
 
@@ -71,9 +71,10 @@ def lint_network(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", "url").where(F.col("url").rlike("^(https?|ftp)://"))
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[\s\x22\x27])/[A-Za-z][A-Za-z0-9_.-]*/[A-Za-z]')")
+@query(r"SELECT page_id FROM pages WHERE regexp_matches(html, '=[\x22\x27]/[A-Z]')")
 def lint_absolute_path(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("text").rlike(r"(^|[\s\x22\x27])/[A-Za-z][A-Za-z0-9_.-]*/[A-Za-z]")).select("doc_id")
+    """Pages with an absolute path, in quotes, that begins with a capital letter."""
+    return table(spark, d, "pages").where(F.col("html").rlike(r"=[\x22\x27]/[A-Z]")).select("page_id")
 
 
 @query(
@@ -106,7 +107,7 @@ def lint_outermost(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT l_partkey AS k, l_suppkey % 4 AS id, l_returnflag = 'R' AS w FROM lineitem WHERE l_partkey < 200),
+    """WITH d AS (SELECT DISTINCT l_partkey AS k, l_suppkey % 4 AS id, l_returnflag = 'R' AS w FROM lineitem),
     e AS (SELECT k, id, bool_or(w) AND bool_or(NOT w) AS b FROM d GROUP BY 1, 2) SELECT k, bool_and(b) AS covered FROM e GROUP BY 1"""
 )
 def lint_branch_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -116,11 +117,11 @@ def lint_branch_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT coalesce(a.k, b.k) AS k, coalesce(a.param, b.param) AS param, CASE WHEN a.k IS NULL THEN 'undocumented' ELSE 'undeclared' END AS side
-    FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS param FROM lineitem WHERE l_orderkey < 500 AND l_tax > 0.02) a
-    FULL JOIN (SELECT DISTINCT l_orderkey AS k, l_linenumber AS param FROM lineitem WHERE l_orderkey < 500 AND l_tax < 0.06) b USING (k, param) WHERE a.k IS NULL OR b.k IS NULL"""
+    FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS param FROM lineitem WHERE l_tax > 0.02) a
+    FULL JOIN (SELECT DISTINCT l_orderkey AS k, l_linenumber AS param FROM lineitem WHERE l_tax < 0.06) b USING (k, param) WHERE a.k IS NULL OR b.k IS NULL"""
 )
 def lint_roxygen(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").where("l_orderkey < 500")
+    lines = table(spark, d, "lineitem")
     rows = lambda cond: lines.where(cond).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("param")).distinct()
     return L.missing(rows("l_tax > 0.02"), rows("l_tax < 0.06"), ["k"])
 
@@ -130,12 +131,16 @@ def lint_has_license(spark: SparkSession, d: str) -> DataFrame:
     return L.absent(table(spark, d, "documents").where("text = 'LICENSE'"), "software-has-license")
 
 
-@query("SELECT o_orderkey AS frame, o_totalprice > 0 AS x FROM orders WHERE false")
+@query(
+    """SELECT o_orderkey AS frame, 'c' || (o_orderkey % 8) AS "column", CAST(o_custkey % 9 AS INTEGER) AS row FROM orders
+    WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND (o_orderkey % 8 NOT IN (SELECT l_linenumber FROM lineitem WHERE l_orderkey = o_orderkey)
+      OR o_custkey % 9 > (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey))"""
+)
 def lint_frame_access(spark: SparkSession, d: str) -> DataFrame:
-    """No access goes beyond what the frames hold."""
+    """Accesses to columns that an order's lines do not have, or to rows beyond their last."""
     schema = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame")).agg(F.sort_array(F.collect_set(F.concat(F.lit("c"), "l_linenumber"))).alias("columns"), F.count("*").alias("rows"))
-    access = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame"), F.concat(F.lit("c"), "l_linenumber").alias("column"), F.lit(1).alias("row"))
-    return L.invalid_access(access, schema).select("frame", F.col("column").isNotNull().alias("x"))
+    access = table(spark, d, "orders").select(F.col("o_orderkey").alias("frame"), F.concat(F.lit("c"), F.col("o_orderkey") % 8).alias("column"), (F.col("o_custkey") % 9).cast("int").alias("row"))
+    return L.invalid_access(access, schema)
 
 
 @query("SELECT l_orderkey, count(*) AS elements FROM lineitem GROUP BY 1 HAVING count(*) <= 1")

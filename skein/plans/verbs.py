@@ -166,9 +166,9 @@ def join_semi(spark: SparkSession, d: str) -> DataFrame:
     return V.join(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_totalprice > 300000"), {"c_custkey": "o_custkey"}, "semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def join_anti(spark: SparkSession, d: str) -> DataFrame:
-    return V.join(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders"), {"c_custkey": "o_custkey"}, "anti")
+    return V.join(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_totalprice > 400000"), {"c_custkey": "o_custkey"}, "anti")
 
 
 @query(
@@ -226,9 +226,9 @@ def rows_delete(spark: SparkSession, d: str) -> DataFrame:
     return V.rows_delete(*_stock(spark, d), ["p_partkey"])
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_tax']) AS name, unnest([l_quantity, l_tax]) AS value FROM lineitem WHERE l_orderkey < 1000")
+@query("SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_tax']) AS name, unnest([l_quantity, l_tax]) AS value FROM lineitem")
 def pivot_longer(spark: SparkSession, d: str) -> DataFrame:
-    return V.pivot_longer(table(spark, d, "lineitem").where("l_orderkey < 1000").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"])
+    return V.pivot_longer(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"])
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS O, count(*) FILTER (l_linestatus = 'F') AS F FROM lineitem GROUP BY 1")
@@ -297,6 +297,6 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey").intersect(table(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey"))
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05 AND l_quantity > 45")
 def set_minus(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").where("l_discount > 0.05").select("l_partkey"))
+    return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").where("l_discount > 0.05 and l_quantity > 45").select("l_partkey"))

@@ -50,7 +50,7 @@ def test_functions(program):
 
 def test_values(program):
     p = program
-    assert [x["values"] for x in QUERIES["resolve-value"](p, ["3@x"]).where("id like 'a:%'").collect()] == [["3.0"]]
+    assert [x["values"] for x in QUERIES["resolve-value"](p, ["3@x"]).where("id like 'a:%'").collect()] == [["3"]]
     kinds = {x.kind for x in QUERIES["input-sources"](p, ["5@y"]).where("id like 'a:%'").collect()}
     assert kinds == {"const", "rand"}
 

@@ -28,11 +28,11 @@ def test_bottom():
     assert exactly(2).satisfies(2) is True and Interval(1, 3).satisfies(2) is None and Interval(1, 3).satisfies(5) is False
 
 
-def test_example_pipeline():
-    """df1(id, age, score) with 4 rows, df2(id, category) with 3: filter, mutate, left join, select."""
-    other = create(["id", "category"], 3)
-    got = infer([("create", {"names": ["id", "age", "score"], "rows": 4}), ("filterRows", {}), ("mutateCols", {"names": ["level"]}), ("join", {"other": other, "by": ["id"], "how": "left"}), ("removeCols", {"names": ["age"]})])
-    assert got.names == these(["id", "score", "level", "category"]) and got.rows == Interval(0, 4)
+def test_steps_in_a_row():
+    """A frame of 9 rows: a new column, rows named off, one column out, two frames on top of each other."""
+    more = create(["when", "depth", "depth_cm"], 2)
+    got = infer([("create", {"names": ["when", "where", "depth"], "rows": 9}), ("addCols", {"names": ["depth_cm"]}), ("removeRows", {"n": 4}), ("removeCols", {"names": ["where"]}), ("concatRows", {"other": more})])
+    assert got.names == these(["when", "depth", "depth_cm"]) and got.rows == exactly(7) and got.cols == exactly(3)
 
 
 def test_joins():

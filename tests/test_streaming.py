@@ -11,5 +11,5 @@ def test_new_files_are_linted_once(spark, tmp_path):
     findings(spark, src, out, state, rules).awaitTermination()
     (tmp_path / "src" / "b.R").write_text(") oops\n")
     findings(spark, src, out, state, rules).awaitTermination()
-    got = sorted((x.file_id, x.rule) for x in spark.read.parquet(out).collect())
+    got = sorted((x.file_id.removeprefix(src + "/"), x.rule) for x in spark.read.parquet(out).collect())
     assert got == [("a.R", "seeded-randomness"), ("b.R", "syntactically-valid")]
