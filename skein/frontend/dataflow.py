@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from skein.frontend.parser import ASSIGN, Node, parse
@@ -58,11 +58,12 @@ class Function:
 class Flow(Processors):
     """The analysis of one file; vertices: id -> (tag, name, namespace, origin, cds); edges: (src, dst) -> bits.
 
-    `sources`: texts of files that may be sourced, by path; `kinds`: what calls of a name do, beside or instead of KINDS.
+    `sources`: texts of files that may be sourced, by path; `kinds`: what calls of a name do, beside or instead of KINDS;
+    `observe` is told of each node and each call of a kind that is visited. A subclass may replace any on_ and do_ method.
     """
 
-    def __init__(self, root: Node, sources: Mapping[str, str] | None = None, kinds: Mapping[str, str] | None = None):
-        self.root = root
+    def __init__(self, root: Node, sources: Mapping[str, str] | None = None, kinds: Mapping[str, str] | None = None, observe: Callable[[str, Node], None] | None = None):
+        self.root, self.observe = root, observe
         self.sources, self.kinds = dict(sources or {}), {**KINDS, **(kinds or {})}
         self.sourced: list[tuple[int, str]] = []
         self.sourcing: list[str] = []
@@ -143,6 +144,8 @@ class Flow(Processors):
 
     def visit(self, n: Node) -> list[int]:
         handler = getattr(self, "on_" + n.type, None)
+        if self.observe is not None:
+            self.observe(n.type, n)
         return handler(n) if handler else []
 
     def on_RNumber(self, n: Node) -> list[int]:
@@ -335,6 +338,8 @@ class Flow(Processors):
             return self.assign(n, values[0], values[1])
         kind = self.kinds.get(name)
         if kind is not None and (ns is not None or not self.lookup(name)):
+            if self.observe is not None:
+                self.observe(kind, n)
             return getattr(self, "do_" + kind.replace("-", "_"))(n, name, args, extra)
         given = self.arguments(n, args, extra)
         defs = set() if ns else self.lookup(name)
@@ -613,6 +618,25 @@ class Flow(Processors):
                 return []
         return [n.id]
 
+    def in_order(self, backward: bool = False) -> Iterator[int]:
+        """The statements along the flow, breadth first from the beginnings, or from the ends backward; each once."""
+        after: dict[int, list[int]] = defaultdict(list)
+        ends = set()
+        for (src, dst), bits in self.edges.items():
+            if bits & FLOW:
+                a, b = (dst, src) if backward else (src, dst)
+                after[a].append(b)
+                ends |= {a, b}
+        entered = {y for x in after.values() for y in x}
+        todo = sorted(ends - entered) or sorted(ends)[:1]
+        seen = set(todo)
+        for x in todo:
+            yield x
+            for y in sorted(after[x]):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+
     def unreached(self) -> list[int]:
         """Statements of the file and of blocks that no way from the file's or a function's beginning comes to."""
         after: dict[int, list[int]] = defaultdict(list)

@@ -104,9 +104,12 @@ class Program:
         from skein.frontend.shipping import ship
 
         ship(files.sparkSession)
-        self.files = files.select(F.col("file_id").cast("string").alias("file_id"), "content")
+        self.files, self.kinds = files.select(F.col("file_id").cast("string").alias("file_id"), "content"), kinds
         self.rows = stored(self.files.mapInArrow(_analysed(kinds), _ROW), "program")
         self._link_sources(kinds)
+        self._tables()
+
+    def _tables(self) -> None:
         of = lambda kind, *columns: self.rows.where(F.col("kind") == kind).select(*columns)
         self.nodes = of(
             "node", "file_id", F.col("id").alias("node_id"), "parent_id", "type", "lexeme", "role", "idx", "nest", "depth", "sl", "sc", "el", "ec", "value", "statement", "owner"
@@ -139,6 +142,28 @@ class Program:
         self.rows = stored(before.join(roots.select(F.col("root").alias("file_id")), "file_id", "left_anti").select(*before.columns).unionByName(again), "program")
         discard(before)
 
+    def updated(self, files: DataFrame, removed: DataFrame | None = None) -> Program:
+        """The program after some files (file_id, content) have changed or come, and others (file_id) have gone: only files
+        whose text is another one, and those that source them, are analysed again."""
+        from skein.functions.text import content_hash
+
+        given = files.select(F.col("file_id").cast("string").alias("file_id"), "content")
+        old = self.files.select("file_id", content_hash(F.col("content")).alias("was"))
+        fresh = given.join(old, "file_id", "left").where(F.col("was").isNull() | (F.col("was") != content_hash(F.col("content")))).select("file_id", "content")
+        fresh = stored(fresh, "fresh")
+        gone = fresh.select("file_id") if removed is None else fresh.select("file_id").union(removed.select(F.col("file_id").cast("string"))).distinct()
+        out = object.__new__(Program)
+        out.files = stored(self.files.join(gone, "file_id", "left_anti").unionByName(fresh), "files")
+        # a file that sources a changed one is read anew as well
+        users = self.sources.select("file_id").distinct() if not gone.isEmpty() else gone.limit(0)
+        again = out.files.join(fresh.select("file_id").union(users).distinct(), "file_id", "left_semi")
+        kept = self.rows.join(gone.union(users).distinct(), "file_id", "left_anti")
+        out.kinds = self.kinds
+        out.rows = stored(kept.unionByName(again.mapInArrow(_analysed(self.kinds), _ROW)), "program")
+        out._link_sources(self.kinds)
+        out._tables()
+        return out
+
     def data_edges(self) -> DataFrame:
         return G.without_types(self.edges, G.FLOW | G.CONTROL)
 

@@ -688,6 +688,61 @@ def config(p: Program, update: Mapping[str, str] | None = None) -> DataFrame:
     return spark.createDataFrame(sorted((k, str(v)) for k, v in spark.conf.getAll.items()), "key string, value string")
 
 
+@query("all-criteria")
+def all_criteria(p: Program, least: int = 1, most: int = 1) -> DataFrame:
+    """file_id, criteria: every choice of `least` to `most` variables of a file, as criteria `line@[n]name`. Choices of several
+    are all combinations within a file, so `most` should be small."""
+    named = p.nodes.join(p.vertices.where("tag in ('use', 'variable-definition')").select(F.col("id").alias("node_id")), "node_id", "left_semi").where("type = 'RSymbol'")
+    nth = F.row_number().over(Window.partitionBy("file_id", "sl", "lexeme").orderBy("sc"))
+    one = named.withColumn("n", nth).select("file_id", F.struct("sl", "sc", F.concat("sl", F.lit("@["), "n", F.lit("]"), "lexeme").alias("c")).alias("x"))
+    chosen = one.select("file_id", F.array("x").alias("xs"))
+    out = chosen if least <= 1 else None
+    for size in range(2, most + 1):
+        chosen = chosen.join(one, "file_id").where(F.element_at("xs", -1) < F.col("x")).select("file_id", F.concat("xs", F.array("x")).alias("xs"))
+        if size >= least:
+            out = chosen if out is None else out.union(chosen)
+    return out.select("file_id", F.transform("xs", lambda x: x["c"]).alias("criteria"))
+
+
+@query("qualify")
+def qualify(p: Program, exports: DataFrame | None = None) -> DataFrame:
+    """id, file_id, qualified: calls as `package::name`: by the package in front, or that of the only attached package whose
+    exports (package, name) have the name; own functions stay as they are."""
+    calls = p.calls().select("id", "file_id", "name", "ns")
+    if exports is not None:
+        mine = p.typed(G.CALLS, "id", "f").select("id").distinct()
+        attached = p.libraries.select("file_id", "package").distinct().join(exports, "package")
+        owner = calls.where("ns is null").join(mine, "id", "left_anti").join(attached, ["file_id", "name"]).groupBy("id").agg(F.min("package").alias("owner"), F.count("*").alias("n")).where("n = 1")
+        calls = calls.join(owner.select("id", "owner"), "id", "left").withColumn("ns", F.coalesce("ns", "owner"))
+    return calls.select("id", "file_id", F.when(F.col("ns").isNotNull(), F.concat("ns", F.lit("::"), "name")).otherwise(F.col("name")).alias("qualified"))
+
+
+@query("working-directory")
+def working_directory(p: Program) -> DataFrame:
+    """id, file_id, directory: where each call outside functions runs, after the setwd() calls of constants above it; empty
+    where none is, NULL where one of them is no constant."""
+    calls = p.calls().where("owner is null").select("id", "file_id", "name", "sl", "sc")
+    given = p.typed(G.ARGUMENT, "id", "arg").join(p.constants.select(F.col("id").alias("arg"), "values"), "arg").where("size(values) = 1").select("id", F.col("values")[0].alias("to"))
+    moves = calls.join(given, "id", "left").withColumn("move", F.when(F.col("name") == "setwd", F.struct("to", F.lit(True).alias("is"))))
+    before = F.collect_list("move").over(Window.partitionBy("file_id").orderBy("sl", "sc").rowsBetween(Window.unboundedPreceding, -1))
+    absolute = lambda t: t.rlike(r"^(/|~|[A-Za-z]:)")
+    step = lambda at, m: F.when(m["to"].isNull(), F.lit(None).cast("string")).when(absolute(m["to"]), m["to"]).otherwise(F.concat(at, F.when(at != "", F.lit("/")).otherwise(""), m["to"]))
+    return moves.select("id", "file_id", F.aggregate(before, F.lit(""), step).alias("directory"))
+
+
+@query("invariants")
+def invariants(p: Program) -> DataFrame:
+    """file_id, id, problem: what no flow may have: edges to nothing, statements of the file that no edge touches although
+    there are several."""
+    ids = p.nodes.select(F.col("node_id").alias("id"))
+    ends = p.flow_edges().select("file_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    loose = ends.join(ids, "id", "left_anti").select("file_id", "id", F.lit("edge to nothing").alias("problem"))
+    top = p.nodes.where("depth = 1 and role = 'expr-list-child' and type <> 'RError'").select("file_id", F.col("node_id").alias("id"))
+    several = top.groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1")
+    alone = top.join(several.select("file_id"), "file_id", "left_semi").join(ends.select("id"), "id", "left_anti").join(p.dead_code().select("id"), "id", "left_anti")
+    return loose.union(alone.select("file_id", "id", F.lit("statement without edges")))
+
+
 @query("search")
 def search(p: Program, build: Callable[[S.Search], S.Search]) -> DataFrame:
     """A search over the program's nodes."""

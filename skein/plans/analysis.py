@@ -488,3 +488,48 @@ def search_last_calls_of_files(spark: SparkSession, d: str) -> DataFrame:
         got = Search(p.nodes).get(line=line).filter(F.col("type") == "RFunctionCall").frame.select("file_id", F.col("lexeme").alias("name"))
         out = got if out is None else out.union(got)
     return out
+
+
+@query(f"WITH {_S} SELECT file_id, criteria FROM s, (VALUES ('4@[1]x'), ('4@[1]y'), ('4@[1]x 4@[1]y')) t(criteria)")
+def query_all_criteria(spark: SparkSession, d: str) -> DataFrame:
+    """All choices of one or two variables on line 4; y stands before x there."""
+    found = QUERIES["all-criteria"](program(spark, d, "suppliers"), 1, 2)
+    only = found.where(F.forall("criteria", lambda c: c.startswith("4@")))
+    return only.select("file_id", F.array_join(F.array_sort("criteria"), " ").alias("criteria"))
+
+
+@query(f"WITH {_S} SELECT file_id, 'pkg' || n || '::read.csv' AS qualified FROM s UNION ALL SELECT file_id, 'print' FROM s UNION ALL SELECT file_id, 'print' FROM s WHERE k % 2 = 1")
+def query_qualified(spark: SparkSession, d: str) -> DataFrame:
+    """Calls with the package that exports them, if one does and is attached."""
+    p = program(spark, d, "suppliers")
+    exports = p.libraries.select("package").distinct().withColumn("name", F.lit("read.csv"))
+    return QUERIES["qualify"](p, exports).where("qualified = 'print' or qualified like '%read.csv'").select("file_id", "qualified")
+
+
+@query("SELECT 'w' || n_nationkey AS file_id, line, directory FROM nation, LATERAL (VALUES (1, ''), (2, '/data'), (3, '/data/in' || n_nationkey), (4, '/out')) t(line, directory)")
+def query_working_directory(spark: SparkSession, d: str) -> DataFrame:
+    """Where calls run, after the changes of folder above them."""
+    k = F.col("n_nationkey")
+    code = filled('setwd("/data")\nsetwd("in{k}")\nsetwd(paste0("/", "out"))\nread.csv("a.csv")', k=k)
+    p = Program(table(spark, d, "nation").select(F.concat(F.lit("w"), k).alias("file_id"), code.alias("content")))
+    return QUERIES["working-directory"](p).join(at(p, "id"), "id").join(p.calls().where("name in ('setwd', 'read.csv')").select("id"), "id", "left_semi").select("file_id", F.col("id_line").alias("line"), "directory")
+
+
+@query(f"WITH {_S} SELECT file_id, 0 AS problems FROM s")
+def query_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """How often each script's flow breaks what flows have to keep: never."""
+    p = program(spark, d, "suppliers")
+    found = QUERIES["invariants"](p).groupBy("file_id").agg(F.count("*").cast("int").alias("n"))
+    return p.files.join(found, "file_id", "left").select("file_id", F.coalesce("n", F.lit(0)).alias("problems"))
+
+
+@query(f"WITH {_S} SELECT file_id, CASE WHEN k % 4 = 0 THEN 1000 + k ELSE k END AS x FROM s WHERE k % 5 <> 0")
+def query_updated_program(spark: SparkSession, d: str) -> DataFrame:
+    """A program after a quarter of its files has changed and a fifth has gone: what x stands for in each."""
+    k = F.col("s_suppkey")
+    p = program(spark, d, "suppliers")
+    changed = table(spark, d, "supplier").where(k % 4 == 0).select(F.concat(F.lit("s"), k).alias("file_id"), F.concat(F.lit("\n\nx <- "), 1000 + k).alias("content"))
+    gone = table(spark, d, "supplier").where(k % 5 == 0).select(F.concat(F.lit("s"), k).alias("file_id"))
+    after = p.updated(changed.join(gone, "file_id", "left_anti"), gone)
+    found = QUERIES["resolve-value"](after, ["3@x"]).join(after.nodes.select(F.col("node_id").alias("id"), "file_id"), "id")
+    return found.select("file_id", F.col("values")[0].cast("long").alias("x"))

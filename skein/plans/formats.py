@@ -242,3 +242,55 @@ def source_requests(spark: SparkSession, d: str) -> DataFrame:
     """Inputs that are the text itself."""
     inputs = [f"x <- {r.n_nationkey}" for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     return S.request(spark, *inputs).select("content")
+
+
+@query(f"WITH {_P} SELECT 'lib/part' || k || '/DESCRIPTION' AS path, 'part' || k AS package, size || '.' || brand AS version FROM p")
+def source_library(spark: SparkSession, d: str) -> DataFrame:
+    """Installed packages, by their own descriptions."""
+    files = _parts(spark, d, DESCRIPTION).select(F.concat(F.lit("lib/part"), F.substring("path", 2, 20), F.lit("/DESCRIPTION")).alias("path"), "content")
+    return S.library(files.unionByName(files.select(F.concat("path", F.lit(".bak")).alias("path"), "content")))
+
+
+@query(f"WITH {_P} SELECT path, size % 2 = 0 AS ok FROM p")
+def source_verified(spark: SparkSession, d: str) -> DataFrame:
+    """Files against the digests that are expected of them; half of these are another file's."""
+    files = _parts(spark, d, NEWS)
+    expected = files.join(table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), "p_size"), "path")
+    digest = F.sha2(F.concat("content", F.when(F.col("p_size") % 2 == 0, "").otherwise("x")).cast("binary"), 256)
+    return S.verified(files, expected.select("path", digest.alias("sha256")))
+
+
+@query(
+    f"""WITH {_P} SELECT 'versions:description' AS origin, path, 'alpha' AS package, '>= ' || size AS version FROM p UNION ALL SELECT 'versions:description', path, 'beta', NULL FROM p
+    UNION ALL SELECT 'versions:description', path, 'gamma', '< 2.' || brand FROM p UNION ALL SELECT 'versions:description', path, 'base' || brand, NULL FROM p
+    UNION ALL SELECT 'versions:description', path, 'R', '>= 3.' || size FROM p UNION ALL SELECT 'versions:own', path, 'mine', size::VARCHAR FROM p"""
+)
+def source_plugins(spark: SparkSession, d: str) -> DataFrame:
+    """Readers by key, one of them added from outside; their rows about packages in one table."""
+    from skein import registry
+
+    registry.register("versions:own", lambda files: files.select("path", F.lit("mine").alias("package"), F.regexp_extract("content", r"Version: (\d+)", 1).alias("version")))
+    return registry.versions(_parts(spark, d, DESCRIPTION), ["versions:description", "versions:own"])
+
+
+@query("SELECT event_id, event_type, value, props FROM events")
+def source_bson(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as binary documents and back."""
+    from skein.sources import bson
+
+    rows = table(spark, d, "events").select("event_id", "event_type", "value", "props")
+    return bson.decoded(bson.encoded(rows), "event_id long, event_type string, value double, props string")
+
+
+@query("SELECT what, form, n FROM (VALUES ('ast', 'text', 4), ('ast', 'json', 4), ('cfg', 'mermaid', 1), ('dataflow', 'compact', 4)) t(what, form, n)")
+def source_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """A small program in several output formats, by the number of lines, and by steps that need one another."""
+    from skein import registry
+    from skein.frontend.program import Program
+
+    steps = registry.Steps().add("files", lambda: spark.createDataFrame([("f", "x <- 1")], "file_id string, content string")).add("program", Program, ["files"])
+    p, out = steps.run("program")["program"], None
+    for what, form in (("ast", "text"), ("ast", "json"), ("cfg", "mermaid"), ("dataflow", "compact")):
+        one = registry.rendered(p, what, form).agg(F.count("*").cast("int").alias("n")).select(F.lit(what).alias("what"), F.lit(form).alias("form"), "n")
+        out = one if out is None else out.union(one)
+    return out

@@ -153,3 +153,65 @@ def version_satisfies(spark: SparkSession, d: str) -> DataFrame:
 def version_highest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_brand", F.concat((F.col("p_size") / 10).cast("int"), F.lit("."), F.col("p_size") % 10).alias("version"))
     return rows.groupBy("p_brand").agg(V.highest(F.col("version")).alias("version"))
+
+
+@query(
+    """SELECT p_partkey, regexp_matches(p_name, '^[A-Za-z]+ [a-z]*ing$') AS ring, regexp_matches(p_brand, '[#]') AS marked, regexp_matches(p_type, '^[A-Z]+$') AS loud FROM part"""
+)
+def scalar_posix_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns with POSIX classes."""
+    from skein.functions import text as T
+
+    like = lambda c, p: F.regexp_like(F.col(c), T.pattern(F.lit(p)))
+    return table(spark, d, "part").select("p_partkey", like("p_name", "^[[:alpha:]]+[[:blank:]][[:lower:]]*ing$").alias("ring"), like("p_brand", "[[:punct:]]").alias("marked"), like("p_type", "^[[:upper:]]+$").alias("loud"))
+
+
+@query(
+    """SELECT p_partkey, -(p_size % 3) * 150 - length(p_type) * 12 + least(log10(p_size + 10), 8) * 4 + CASE WHEN p_type = 'SMALL' THEN 3000 WHEN lower(p_type) = 'small' THEN 900 ELSE 0 END
+      + CASE WHEN p_size % 2 = 0 THEN 40 ELSE 0 END + CASE WHEN p_size % 4 = 0 THEN 20 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 500 ELSE 0 END - CASE WHEN p_size % 7 = 0 THEN 30 ELSE 0 END
+      - CASE WHEN p_size % 11 = 0 THEN 20 ELSE 0 END - CASE WHEN p_type <> 'SMALL' THEN 30 ELSE 0 END AS points FROM part"""
+)
+def scalar_name_rank(spark: SparkSession, d: str) -> DataFrame:
+    """How well part types answer SMALL, as names that were typed."""
+    from skein.functions import text as T
+
+    s = F.col("p_size")
+    base = F.when(s % 2 == 0, s % 4 == 0)
+    points = T.name_rank(F.col("p_type"), F.lit("SMALL"), s % 3, s, base, s % 5 == 0, s % 7 == 0, s % 11 == 0)
+    return table(spark, d, "part").select("p_partkey", points.alias("points"))
+
+
+@query(
+    """SELECT o_orderkey, year(o_orderdate) <= 1996 AS upto, o_orderdate::DATE >= DATE '1995-03-01' AS since, o_orderdate::DATE < DATE '1997-01-01' AS before,
+    o_orderdate::DATE > DATE '1995-03-31' AS after, o_orderdate::DATE BETWEEN DATE '1995-03-01' AND DATE '1995-03-31' AS month FROM orders"""
+)
+def scalar_date_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Dates against years, months and days."""
+    from skein.functions import text as T
+
+    met = lambda b: T.within_dates(F.col("o_orderdate").cast("date"), F.lit(b))
+    return table(spark, d, "orders").select("o_orderkey", met("<=1996").alias("upto"), met(">=1995.03.01").alias("since"), met("<1997").alias("before"), met(">1995.03").alias("after"), met("=1995.3").alias("month"))
+
+
+@query(
+    """SELECT p_partkey, name, CASE name WHEN 'sin' THEN 'Math' WHEN '+' THEN 'Arith' WHEN 'sum' THEN 'Summary' WHEN '&' THEN 'Logic' END AS "group" FROM part,
+    LATERAL (SELECT CASE p_size % 5 WHEN 0 THEN 'sin' WHEN 1 THEN '+' WHEN 2 THEN 'sum' WHEN 3 THEN '&' ELSE 'lm' END AS name)"""
+)
+def scalar_group_generics(spark: SparkSession, d: str) -> DataFrame:
+    from skein.functions import text as T
+
+    name = F.element_at(F.array(*map(F.lit, ("sin", "+", "sum", "&", "lm"))), (F.col("p_size") % 5 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", name.alias("name"), T.group_generic(name).alias("group"))
+
+
+@query(
+    """SELECT p_partkey, p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN 'new' ELSE p_type END AS kind, sha256(p_name) AS hash, CAST(2 AS INTEGER) AS keys FROM part"""
+)
+def scalar_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records: the right one's values win, keys without a value go; and a digest of a text."""
+    from skein.functions import text as T
+
+    left = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("kind"), F.col("p_type"))
+    right = F.create_map(F.lit("kind"), F.when(F.col("p_size") % 2 == 0, "new"), F.lit("gone"), F.lit(None).cast("string"))
+    both = T.merged(left, right)
+    return table(spark, d, "part").select("p_partkey", both["brand"].alias("brand"), both["kind"].alias("kind"), T.content_hash(F.col("p_name")).alias("hash"), F.size(both).alias("keys"))

@@ -253,6 +253,19 @@ def toml(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_toml_rows, "path string, key string, value string")
 
 
+def library(files: DataFrame) -> DataFrame:
+    """path, package, version of an installed library: each package's own description."""
+    of = lambda k, n: F.max(F.when(F.col("key") == k, F.col("value"))).alias(n)
+    return dcf(files.where(F.col("path").rlike(r"(^|/)DESCRIPTION$"))).groupBy("path").agg(of("Package", "package"), of("Version", "version"))
+
+
+def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """path, ok: whether files (path, content) have the SHA-256 digests that are expected (path, sha256); files that are
+    not there are not ok."""
+    got = files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("_sha"))
+    return expected.join(got, "path", "left").select("path", F.coalesce(F.lower("sha256") == F.col("_sha"), F.lit(False)).alias("ok"))
+
+
 def toml_packages(leaves: DataFrame) -> DataFrame:
     """path, package, version of manifests and lock files: packages and dependencies, as tables or arrays of them."""
     place = r"^(?:.*\.)?(packages|package|dependencies)(?:\[(\d+)\])?(?:\.([^.\[]+))?$"
