@@ -85,7 +85,8 @@ def closure(edges: DataFrame, seeds: DataFrame, backward: bool = False, within:
     """
     state = seeds.columns
     extra = [c for c in state if c != "id"]
-    steps = (inverted(edges) if backward else edges).select("src", F.col("dst").alias("_to")).where("src <> _to").distinct()
+    # repeated steps do no harm: what a round finds is made distinct
+    steps = (inverted(edges) if backward else edges).select("src", F.col("dst").alias("_to")).where("src <> _to")
     if within is not None:
         steps = steps.join(within.select(F.col("id").alias("_to")).distinct(), "_to", "left_semi")
     steps = stored(steps.select("src", "_to"), "steps")
@@ -138,16 +139,14 @@ def static_slice(vertices: DataFrame, edges: DataFrame, criteria: DataFrame, for
     target. Vertices of the slice bring in what controls them: `vertices` may have cds, array<string>.
     """
     edges = inverted(edges) if forward else edges
-    edges = edges.where(~includes(F.col("types"), NSE))
+    edges = stored(edges.where(~includes(F.col("types"), NSE)).select("src", "dst", "types"), "edges")
     always = edges.where(includes(F.col("types"), FOLLOWED | SIDE_EFFECT)).select("src", "dst")
     if "cds" in vertices.columns and not forward:
         always = always.union(vertices.select(F.col("id").alias("src"), F.explode("cds").alias("dst")))
     twice = edges.where(includes(F.col("types"), DEFINES_ON_CALL | DEFINED_BY_ON_CALL) & ~includes(F.col("types"), FOLLOWED | SIDE_EFFECT)).select("src", "dst")
-    always = stored(always.distinct(), "always")
     known = stored(closure(always, criteria.select("id")).select("id").distinct(), "slice")
     if twice.isEmpty():
         return known
-    twice = stored(twice.distinct(), "twice")
     while True:
         asked = twice.join(known.withColumnRenamed("id", "src"), "src", "left_semi").groupBy("dst").agg(F.countDistinct("src").alias("n")).where("n >= 2")
         more = stored(asked.select(F.col("dst").alias("id")).join(known, "id", "left_anti"), "slice")

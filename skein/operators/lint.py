@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,14 @@ SECRET_FORMS = {
 }
 
 
+#: Texts of which a form has one at least: looked for first, as plain search is much cheaper than a pattern. Lower-case
+#: ones are looked for whatever the letters' case.
+GUARDS = {
+    "aws": ("AKIA",), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "stripe": ("k_live_", "k_test_"), "ssh": ("PRIVATE KEY-----",),
+    "assigned": ("passw", "secret", "token", "api"),
+}
+
+
 def unused(definitions: DataFrame, reads: DataFrame, key: str) -> DataFrame:
     """Definitions that nothing reads."""
     return definitions.join(reads.select(key).distinct(), key, "left_anti")
@@ -94,9 +104,11 @@ def deprecated(calls: DataFrame, table: DataFrame, name: str = "name", version:
 
 def secrets(texts: DataFrame, column: str) -> DataFrame:
     """texts with the first known form of a secret in them."""
-    out = None
+    out, low = None, F.lower(column)
     for label, pattern in SECRET_FORMS.items():
-        hit = F.col(column).rlike(pattern)
+        where = low if pattern.startswith("(?i)") else F.col(column)
+        guard = reduce(or_, [where.contains(x) for x in GUARDS[label]])
+        hit = guard & F.col(column).rlike(pattern)
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return texts.withColumn("form", out).where("form is not null")
 

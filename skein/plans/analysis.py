@@ -15,6 +15,7 @@ from skein.operators.queries import QUERIES
 from skein.operators.search import Search
 from skein.plans.registry import query
 from skein.session import table
+from skein.storage import held
 
 #: The script of supplier {k} of nation {n}; {seed}, {flag} and {end} depend on the supplier's number.
 SCRIPT = """library(pkg{n})
@@ -81,7 +82,7 @@ _programs: dict[tuple[int, str, str], Program] = {}
 def program(spark: SparkSession, d: str, kind: str) -> Program:
     """The analysed scripts of a folder's tables; analysed once for all queries of a session."""
     key = (id(spark), d, kind)
-    if key not in _programs:
+    if key not in _programs or not held(_programs[key].rows):
         _programs[key] = Program(suppliers(spark, d) if kind == "suppliers" else nations(spark, d))
     return _programs[key]
 

@@ -11,6 +11,7 @@ from skein.plans.analysis import at, filled, program
 from skein.plans.registry import query
 from skein.session import table
 from skein.sources import writers as W
+from skein.storage import held
 
 #: The script of nation {k}; what stands in other braces depends on its number.
 SCRIPT = """#' Adds numbers.
@@ -67,7 +68,7 @@ _programs: dict[tuple[int, str], Program] = {}
 
 def linted(spark: SparkSession, d: str) -> Program:
     key = (id(spark), d)
-    if key not in _programs:
+    if key not in _programs or not held(_programs[key].rows):
         _programs[key] = Program(scripts(spark, d))
     return _programs[key]
 

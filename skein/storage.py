@@ -48,6 +48,11 @@ def discard(*frames: DataFrame) -> None:
                 _paths.remove(path)
 
 
+def held(df: DataFrame) -> bool:
+    """Whether a table of stored() is still there."""
+    return getattr(df, "_skein_path", None) in _paths
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all tables that this process stored. Results that were not written or collected yet are lost with them."""
     while _paths:
