@@ -6,12 +6,16 @@ expressions that tell all rows apart.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.storage import stored
+
 By = Sequence[str | Column]
 
 
@@ -97,11 +101,11 @@ def arrange(df: DataFrame, *by: str | Column) -> DataFrame:
 
 def numbered(df: DataFrame, by: By, name: str = "_row") -> DataFrame:
     """Rows numbered from 1 in the order of `by`, without a sort in one task: range partitions get their first number
-    from the counts of those before."""
+    from the counts of those before. The partitions are stored, so that counts and numbers are of the same ones."""
     parts = df.repartitionByRange(*[c if isinstance(c, Column) else F.col(c) for c in by]).sortWithinPartitions(*by)
     parts = parts.withColumn("_id", F.monotonically_increasing_id())
     part, place = F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")
-    parts = parts.select(*df.columns, part, place)
+    parts = stored(parts.select(*df.columns, part, place), "numbered")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     first = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
     return parts.join(F.broadcast(first), "_part").select(*df.columns, (F.col("_first") + F.col("_place") + 1).alias(name))
@@ -276,6 +280,30 @@ def rolling_median(df: DataFrame, column: str, half: int, by: By, within: By = (
     return df.withColumn(name, F.expr(f"percentile({column}, 0.5)").over(w))
 
 
+def rolling_line(df: DataFrame, x: str, y: str, half: int, by: By, within: By = ()) -> DataFrame:
+    """slope and fitted: of the least-squares line through the rows from `half` before to `half` after; null where x does not
+    vary."""
+    w = Window.partitionBy(*within).orderBy(*by).rowsBetween(-half, half)
+    slope, start = F.expr(f"regr_slope({y}, {x})").over(w), F.expr(f"regr_intercept({y}, {x})").over(w)
+    return df.withColumns({"slope": slope, "fitted": start + slope * F.col(x)})
+
+
+def join_by(left: DataFrame, right: DataFrame, equal: Mapping[str, str], conditions: Sequence[tuple[str, str, str]] = (), how: str = "inner") -> DataFrame:
+    """A join on equal columns, by name left and right, and on conditions (left column, sign, right column) among rows that
+    are equal there. Without equal columns it would be all pairs, and is refused."""
+    if not equal:
+        raise ValueError("a join needs equal columns; for ranges alone see skein.operators.asof.in_range")
+    signs = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "!=": lambda a, b: a != b}
+    on = [F.col(f"l.{a}") == F.col(f"r.{b}") for a, b in equal.items()] + [signs[s](F.col(f"l.{a}"), F.col(f"r.{b}")) for a, s, b in conditions]
+    return left.alias("l").join(right.alias("r"), reduce(and_, on), how)
+
+
+def sampled(df: DataFrame, fraction: float, key: str, seed: str = "") -> DataFrame:
+    """The rows whose key's digest falls below a fraction: the same rows on every run, and of any larger fraction too."""
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return df.where(place < int(fraction * (1 << 32)))
+
+
 def statistics(df: DataFrame, column: str, by: By = ()) -> DataFrame:
     """min, max, median, mean, std and total of a column."""
     c = F.col(column)

@@ -300,3 +300,35 @@ def set_intersect(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.05 AND l_quantity > 45")
 def set_minus(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").where("l_discount > 0.05 and l_quantity > 45").select("l_partkey"))
+
+
+@query(
+    """SELECT event_id, round(regr_slope(value, k) OVER w, 6) AS slope, round(regr_intercept(value, k) OVER w + regr_slope(value, k) OVER w * k, 6) AS fitted
+    FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"""
+)
+def rolling_line(spark: SparkSession, d: str) -> DataFrame:
+    """A line through each event's neighbours."""
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return V.rolling_line(e, "k", "value", 3, ["ts", "event_id"], ["user_id"]).select("event_id", F.round("slope", 6).alias("slope"), F.round("fitted", 6).alias("fitted"))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_extendedprice > o_totalprice / 10 AND l_shipdate >= o_orderdate")
+def join_by_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that are a large part of their order and left after it was made."""
+    o = table(spark, d, "orders").withColumn("tenth", F.col("o_totalprice") / 10)
+    found = V.join_by(table(spark, d, "lineitem"), o, {"l_orderkey": "o_orderkey"}, [("l_extendedprice", ">", "tenth"), ("l_shipdate", ">=", "o_orderdate")])
+    return found.select("l_orderkey", "l_linenumber", "o_orderpriority")
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) < 429496729")
+def verb_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the orders, the same on every run."""
+    return V.sampled(table(spark, d, "orders"), 0.1, "o_orderkey").select("o_orderkey")
+
+
+@query(
+    """WITH r AS (SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n, o_orderkey FROM orders) SELECT o_orderkey, n FROM r"""
+)
+def verb_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """All rows numbered in order, without a sort in one task."""
+    return V.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "n").select("o_orderkey", "n")
