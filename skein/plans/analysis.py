@@ -76,12 +76,12 @@ def filled(template: str, **values: Column) -> Column:
     return out
 
 
-_programs: dict[tuple[int, str, str], Program] = {}
+_programs: dict[tuple[str, str, str], Program] = {}
 
 
 def program(spark: SparkSession, d: str, kind: str) -> Program:
     """The analysed scripts of a folder's tables; analysed once for all queries of a session."""
-    key = (id(spark), d, kind)
+    key = (spark.sparkContext.applicationId, d, kind)
     if key not in _programs or not held(_programs[key].rows):
         _programs[key] = Program(suppliers(spark, d) if kind == "suppliers" else nations(spark, d))
     return _programs[key]

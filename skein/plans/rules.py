@@ -63,11 +63,11 @@ def scripts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.concat(F.lit("r"), k).alias("file_id"), code.alias("content"))
 
 
-_programs: dict[tuple[int, str], Program] = {}
+_programs: dict[tuple[str, str], Program] = {}
 
 
 def linted(spark: SparkSession, d: str) -> Program:
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _programs or not held(_programs[key].rows):
         _programs[key] = Program(scripts(spark, d))
     return _programs[key]
