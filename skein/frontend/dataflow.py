@@ -26,20 +26,27 @@ PIPES = {"%>%", "%<>%", "%T>%", "%$%"}
 #: Frames of recursion that the analysis of one file may take.
 DEEPEST = 500_000
 ASSIGNING = {"assign", "delayedAssign", "makeActiveBinding"}
-#: Base functions that scripts use most; calls of names that are neither these nor defined have no origin.
-BUILTIN = set(
-    "abs all any anyNA apply array as.character as.data.frame as.factor as.integer as.list as.numeric attr basename c cat cbind ceiling character class colMeans colnames "
-    "colSums cos cut data.frame diff dim dir dirname do.call dump emptyenv environment eval exists exp expand.grid factor file file.path Filter floor for format formatC function get "
-    "getOption getwd grepl gsub head identical ifelse integer interaction invisible is.character is.data.frame is.function is.na is.null is.numeric lapply length letters levels list lm "
-    "load local log log10 log2 logical ls Map mapply matrix max mean median merge message min names nchar ncol nrow numeric on.exit options order paste paste0 pdf plot plogis png points print "
-    "prod quantile range rbind read.csv read.csv2 read.delim read.table readLines readRDS Recall Reduce rep replace return rev rm rnorm round row.names rownames rowSums runif sample sapply save saveRDS sd "
-    "seq seq_along seq_len set.seed setdiff setwd sin sink sort source split sprintf sqrt str strsplit sub subset substr sum summary suppressWarnings switch Sys.getenv Sys.time system t table tail "
-    "close open stop stopifnot isTRUE isFALSE mode cumsum cumprod cummax cummin duplicated rank rle outer crossprod solve sweep scale aggregate by toString shQuote dQuote sQuote noquote droplevels nlevels "
-    "Negate Vectorize identity proc.time Sys.Date Sys.setenv file.exists file.remove unlink dir.create list.files readline scan writeLines rexp rbinom rpois rgamma rbeta density hist barplot boxplot lines "
-    "abline legend par dev.off glm predict residuals coef anova t.test cor cov optim integrate UseMethod NextMethod quote bquote substitute expression parse deparse new.env assign get0 mget attach detach "
-    "rapply Position Find nargs missing sys.call sys.function parent.frame globalenv environmentName url gzfile download.file Sys.sleep mapply regmatches regexpr gregexpr startsWith endsWith chartr rawToChar "
-    "tapply tolower toupper transform trimws try tryCatch union unique unlist unsplit vapply var vector warning which which.max which.min with within write write.csv write.table zip".split()
+#: Families of base functions, by their common beginning.
+FAMILIES = {
+    "as.": "Date character data.frame double environment factor function integer list logical matrix numeric vector", "is.": "character data.frame environment factor function list logical matrix na null numeric vector",
+    "read.": "csv csv2 dcf delim delim2 table", "write.": "csv csv2 table", "col": "Means Sums names", "row": "Means Sums names", "cum": "max min prod sum", "which.": "max min", "seq_": "along len",
+    "file.": "copy create exists info path remove", "Sys.": "Date getenv setenv sleep time", "log": "10 1p 2", "a": "cos sin tan", "is": "FALSE TRUE",
+    **dict.fromkeys("rdpq", "beta binom chisq exp gamma geom nbinom norm pois t unif"),
+}
+#: Other base functions that scripts use most.
+OTHERS = (
+    "abline abs all anova any anyNA array attr barplot basename boxplot cbind ceiling character chartr class close coef cor cos cov crossprod cut "
+    "data.frame density detach dev.off diff dim dir dir.create dirname download.file dQuote droplevels dump duplicated emptyenv endsWith environmentName "
+    "exp expand.grid factor file floor for format formatC function getOption getwd glm gregexpr grepl gsub gzfile head hist identical identity ifelse "
+    "integer integrate interaction legend length letters levels lines list.files lm log logical ls matrix max mean median merge min missing mode names "
+    "nargs nchar ncol Negate nlevels noquote nrow numeric open optim options order par parse pdf plogis plot png points predict proc.time prod quantile "
+    "range rank rawToChar rbind readline readLines readRDS regexpr regmatches rep replace residuals return rev rle round row.names sample save saveRDS "
+    "scale scan sd seq set.seed setdiff setwd shQuote sin sink solve sort split sprintf sqrt sQuote startsWith strsplit sub substr sum suppressWarnings "
+    "sweep system t t.test table tail tolower toString toupper trimws union unique unlink unlist unsplit url var vector Vectorize which write writeLines "
+    "zip"
 )
+#: Names that are no findings where nothing defines them; calls of names that are neither these nor defined have no origin.
+BUILTIN = {*OTHERS.split(), *(a + b for a, ends in FAMILIES.items() for b in ends.split()), *KINDS, *QUOTING, *STOPPING, *ASSIGNING, *LIBRARY}
 
 
 @dataclass
