@@ -171,7 +171,10 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = need.join(thin, "b").repartition(parts, "a", "salt")
     dealt = dealt.sortWithinPartitions("a", "salt", (F.col("a") != F.col("b")), "b")
-    return for_python(dealt).select("a", "b", "text").mapInArrow(_compare(size, percent), "a long, b long").distinct()
+    found = for_python(dealt).select("a", "b", "text").mapInArrow(_compare(size, percent), "a long, b long").distinct()
+    found = stored(found, "verified")
+    discard(need)
+    return found
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -221,7 +224,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     shared = stored(shared.where("lead < last").select("key", "lead", "size"), "shared")
     member = stored(banded.join(shared, "key").select("key", "id", "n", "lead", "size"), "member")
     stars = member.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(stars, docs, size, percent), "links")
+    discard(shared)
+    links = verified(stars, docs, size, percent)
     same = reps.join(having.select("digest", "doc_id"), "digest").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
     named = having.select("doc_id", "digest").join(same, "doc_id").join(reps, "digest").where("rep > a").select("a", F.col("rep").alias("b"))
     links = links.union(named)
@@ -251,8 +255,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int
     )
     pair = (F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b"))
     across = stored(across.select(*pair).distinct(), "across")
+    discard(member, mixed, left)
     if not across.isEmpty():
-        more = stored(verified(across, docs, size, percent), "more")
+        more = verified(across, docs, size, percent)
         if not more.isEmpty():
             labelled = components(labelled.select(F.col("component").alias("a"), F.col("id").alias("b")).union(more))
     of_set = reps.join(labelled, reps.rep == labelled.id, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
