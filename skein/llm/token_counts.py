@@ -41,7 +41,7 @@ from skein.storage import stored
 
 #: Entries of a worker's dictionary of cuts, and bytes of a cut that may enter it. A full dictionary becomes the old
 #: one, from which cuts that occur again are taken over, so frequent cuts stay.
-CACHE, CACHED_BYTES = 200_000, 64
+CACHE, CACHED_BYTES = 150_000, 64
 #: Code points after which a text's table goes on in another row, and bytes of texts whose cuts are made distinct together.
 SLICE, STEP = 1 << 16, 1 << 21
 #: How the table is written: integers as packed differences.
@@ -85,24 +85,20 @@ class Counter:
     """Counts tokens of prefixes with one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        import ahocorasick
         import regex
 
-        # the tokens as a tree of bytes: a node's child for a byte, and the token that a node completes
-        self.child: dict[int, int] = {}
-        self.token = [-1]
+        # finds all tokens in a text in one pass; bytes stand as the characters of the same numbers
+        self.tokens = ahocorasick.Automaton()
         for i, t in enumerate(vocabulary.tokens):
-            node = 0
-            for byte in t:
-                if (after := self.child.get(node << 8 | byte)) is None:
-                    after = self.child[node << 8 | byte] = len(self.token)
-                    self.token.append(-1)
-                node = after
-            self.token[node] = i
+            self.tokens.add_word(t.decode("latin-1"), i)
+        self.tokens.make_automaton()
+        self.size = list(map(len, vocabulary.tokens))
         self.left = [*range(256), *(a for a, _ in vocabulary.parts)]
         self.right = [*range(256), *(b for _, b in vocabulary.parts)]
         self.merged = {p: 256 + i for i, p in enumerate(vocabulary.parts)}
         self.cut = regex.compile(pattern).findall
-        self.is_space = regex.compile(r"\s+").fullmatch
+        self.spaces = {chr(i) for i in range(0x3001) if regex.fullmatch(r"\s", chr(i))}
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         # where a text can be cut in two without any cut or count changing: before a space between two others
@@ -128,31 +124,31 @@ class Counter:
 
     def prefixes(self, cut: bytes) -> list[int]:
         """The token count of each prefix of a cut's bytes, the empty one first."""
-        n, child, token_of, agree = len(cut), self.child, self.token, self.agree
-        counts, last = [0] * (n + 1), [-1] * (n + 1)
-        for start in range(n):
-            # tokens that start here are tried as the last token of the prefix that ends where they do
-            node, before, count = 0, last[start], counts[start] + 1
-            for end in range(start, n):
-                node = child.get(node << 8 | cut[end])
-                if node is None:
-                    break
-                if (token := token_of[node]) < 0 or counts[end + 1]:
+        size, agree = self.size, self.agree
+        counts, last = [0] * (len(cut) + 1), [-1] * (len(cut) + 1)
+        # the tokens that end at each prefix are tried as its last one, all prefixes before it being known by then
+        for at, token in self.tokens.iter(cut.decode("latin-1")):
+            end = at + 1
+            if counts[end]:
+                continue
+            before = last[start := end - size[token]]
+            if before >= 0:
+                ok = agree.get(pair := before << 20 | token)
+                if ok is None:
+                    ok = agree[pair] = self._agrees(before, token)
+                if not ok:
                     continue
-                if before >= 0:
-                    ok = agree.get(pair := before << 20 | token)
-                    if ok is None:
-                        ok = agree[pair] = self._agrees(before, token)
-                    if not ok:
-                        continue
-                counts[end + 1], last[end + 1] = count, token
+            counts[end], last[end] = counts[start] + 1, token
         return counts
 
+    def blank(self, text: str) -> bool:
+        return self.spaces.issuperset(text)
+
     def _of_cuts(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The counts of all prefixes of each cut but the empty one, one after the other, and where each cut's begin."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        if len(self.agree) > 4 * CACHE:
+        if len(self.agree) > 2 * CACHE:
             self.agree.clear()
         short, long = [], {}
         for i, cut in enumerate(cuts):
@@ -172,7 +168,7 @@ class Counter:
                 self.known[cut] = found
             short.append(found)
         size = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        bounds = np.concatenate([[0], np.cumsum(size)])
+        bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         flat = np.zeros(int(bounds[-1]), np.int32)
         if not long:
             flat[:] = np.frombuffer(b"".join(short), np.uint8)
@@ -194,19 +190,19 @@ class Counter:
         size = np.diff(bounds)
         total = flat[bounds[1:] - 1] if len(words) else np.zeros(0, np.int32)
         # tokens of the row's cuts before each cut
-        upto = np.concatenate([[0], np.cumsum(total[which])])
+        upto = np.concatenate([[0], np.cumsum(total[which])]).astype(np.int32)
         base = upto[:-1] - np.repeat(upto[n_cuts[:-1]], np.diff(n_cuts))
         many = size[which]
-        ends = np.cumsum(many)
-        at = np.repeat(bounds[:-1][which] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        ends = np.cumsum(many, dtype=np.int32)
+        at = np.repeat(bounds[:-1][which] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
         by_byte = flat[at] + np.repeat(base, many)
         raw = np.frombuffer("".join(rows).encode(), np.uint8)
         closes = np.ones(len(raw), bool)
         closes[:-1] = (raw[1:] & 0xC0) != 0x80
         by_point = by_byte[closes]
         # a text that ends in the first of a cut's characters, white space after white space, has all of that in one cut
-        blank = np.array([w.isspace() and bool(self.is_space(w)) for w in words], bool)
-        opens = np.array([bool(self.is_space(w[0])) for w in words], bool)
+        opens = np.array([w[0] in self.spaces for w in words], bool)
+        blank = np.array([o and self.blank(w) for o, w in zip(opens, words, strict=True)], bool)
         if len(which) > 1 and blank.any():
             both = np.flatnonzero(blank[which[:-1]] & opens[which[1:]]) + 1
             both = both[~np.isin(both, n_cuts)]
@@ -256,11 +252,11 @@ class Counter:
             own = [base + by_byte[e] for e in np.cumsum([len(x.encode()) for x in c])]
             if len(c) == 3 and c in CONTRACTIONS:
                 own[1] = base + 2
-            if space and self.is_space(c[0]):
+            if space and c[0] in self.spaces:
                 # a text that ends here has all this white space in one cut
                 own[0] = before_space + self.prefixes((space + c[0]).encode())[-1]
             out += own
-            before_space, space = base, c if self.is_space(c) else ""
+            before_space, space = base, c if self.blank(c) else ""
             base += by_byte[-1]
         return out
 
