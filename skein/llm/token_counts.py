@@ -43,7 +43,7 @@ from skein.storage import stored
 #: one, from which cuts that occur again are taken over, so frequent cuts stay.
 CACHE, CACHED_BYTES = 150_000, 64
 #: Code points after which a text's table goes on in another row, and bytes of texts whose cuts are made distinct together.
-SLICE, STEP = 1 << 16, 1 << 21
+SLICE, STEP = 1 << 16, 1 << 20
 #: How the table is written: integers as packed differences.
 PACKED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}
 #: The contractions that the pattern cuts off whole.
