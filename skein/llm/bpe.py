@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import for_python, texts
 
 #: Bytes of texts whose cuts are made distinct together; characters of a text that is taken in runs, and cuts of a run.
-STEP, LONG, RUN = 1 << 22, 1 << 22, 1 << 20
+STEP, LONG, RUN = 1 << 21, 1 << 22, 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
