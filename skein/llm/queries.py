@@ -106,8 +106,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return quality.judged(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("anomaly")
+    return quality.assessed(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("anomaly")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
